@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from .chunks import op9_chunk_dedup
 from .decontaminate import op1_decontamination
+from .lattice import op2_e8_lattice
+from .lines import op7_fuzzy_lines
 from .mixing import op5_mixing
+from .order_minhash import op3_order_minhash
 from .tokens import op10_token_ids
+from .toxicity import op8_toxicity
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_e8_lattice": op2_e8_lattice,
+    "op3_order_minhash": op3_order_minhash,
     "op5_mixing": op5_mixing,
+    "op7_fuzzy_lines": op7_fuzzy_lines,
+    "op8_toxicity": op8_toxicity,
     "op9_chunk_dedup": op9_chunk_dedup,
     "op10_token_ids": op10_token_ids,
 }
