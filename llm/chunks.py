@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, keyed, signed, text_of
+from .common import byte_slices, keyed, signed, stored, text_of
 
 LEAST, BITS, MOST = 48, 6, 1024
 _GEAR = np.random.default_rng(915).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -98,7 +98,7 @@ def repeats(docs: DataFrame, **sizes) -> DataFrame:
     # combined before the shuffle: a digest that a third of all chunks share is one row a task
     place = F.struct(F.col("doc_id"), F.col("_th"), F.col("place"))
     first = rows.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first.doc_id is distinct from last.doc_id or first._th <> last._th or first.place <> last.place")
-    both = rows.join(first.select("d1", "d2", "first"), ["d1", "d2"])
+    both = rows.join(stored(first.select("d1", "d2", "first"), "digests"), ["d1", "d2"])
     return both.where("doc_id is distinct from first.doc_id or _th <> first._th or place <> first.place").select("doc_id", "_th", "place", "bytes").distinct()
 
 

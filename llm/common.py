@@ -140,3 +140,23 @@ def word_spans(data: np.ndarray, offs: np.ndarray, inside: np.ndarray) -> tuple[
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session, so that they need no path of the driver's; makes Arrow batches small."""
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # rows are whole texts
+    if getattr(sc, "_llm_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.join(tempfile.mkdtemp(prefix="llm-package-"), "llm_package.zip")
+    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(os.listdir(here)):
+            if f.endswith(".py"):
+                z.write(os.path.join(here, f), f"llm/{f}")
+    sc.addPyFile(name)
+    sc._llm_shipped = True
