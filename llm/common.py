@@ -84,7 +84,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("p", ())) < n:
-        m = max(n, 2_000_064)
+        m = max(n, 500_064)
         for k, b in (("p", _BASE), ("i", _INV)):
             a = np.full(m, b, np.uint64)
             a[0] = 1

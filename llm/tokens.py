@@ -16,21 +16,19 @@ as often as they come. A document is never split over blocks. No documents give
 
 from __future__ import annotations
 
-import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, text_of
+from .common import SPACED, byte_slices, prefix_hash, shared_dir, span_hash, text_of, word_spans
 
 BLOCK_IDS = 1 << 18
 SHARD_BYTES = 32_000_000
 RANK = 512
-#: Separators of Python's that the tokenizer doesn't take for white space; such texts are encoded whole.
-_ODD = re.compile("[\x1c-\x1f\x85]")
 
 
 # --- the codes ----------------------------------------------------------------------------
@@ -145,35 +143,144 @@ class Block:
 # --- encoding ------------------------------------------------------------------------------
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+
+
+def _spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_spans with a full stop or comma that ends a word after an ASCII letter as a word of its own."""
+    s, e, _ = word_spans(data, offs, SPACED)
+    last = data[e - 1] if len(e) else np.zeros(0, np.uint8)
+    cut = (e - s > 1) & ((last == 46) | (last == 44))
+    cut[cut] = _LETTER[data[e[cut] - 2]]
+    n = 1 + cut
+    at = np.cumsum(n) - n
+    s2, e2 = np.repeat(s, n), np.repeat(e, n)
+    e2[at[cut]] -= 1
+    s2[at[cut] + 1] = e[cut] - 1
+    return s2, e2, np.searchsorted(s2, offs)
+
+
 class WordCache:
-    """Ids of whole texts by their words: white space never reaches a token, so a word is encoded once."""
+    """Ids of whole texts by their words: white space never reaches a token, so a word is encoded once.
 
-    def __init__(self, path: str, most: int = 200_000):
+    Every encoding is the tokenizer's own. Where the vocabulary marks the ends of words, words of letters alone (a
+    trailing full stop or comma is another token) go through it many at a time and are told apart by those marks;
+    if their number is not the words', and for all other words, each goes alone.
+    """
+
+    def __init__(self, path: str, most: int = 600_000):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.t, self.most, self.ids = Tokenizer.from_file(path), most, {}
-
-    def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
-        if len(self.ids) > self.most:
-            self.ids = {}
-        ids, out = self.ids, []
-        split = [None if _ODD.search(t) else t.split() for t in texts]
-        new = list({w for ws in split if ws for w in ws if w not in ids})
-        for i in range(0, len(new), 5000):
-            part = new[i : i + 5000]
-            for w, e in zip(part, self.t.encode_batch_fast(part, add_special_tokens=False)):
-                ids[w] = e.ids
-        for t, ws in zip(texts, split):
-            got = []
-            if ws is None:
-                got = list(self.t.encode(t, add_special_tokens=False).ids)
+        self.t, self.most = Tokenizer.from_file(path), most
+        vocab = self.t.get_vocab()
+        self.last = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.last[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        # ASCII case can't matter where the tokenizer lower-cases: it is asked, not assumed
+        ask = "".join(chr(c) for c in range(65, 91))
+        self.lower = self.t.encode(ask, add_special_tokens=False).ids == self.t.encode(ask.lower(), add_special_tokens=False).ids
+        self.stops = self._splits_stops()
+        self._clear()
+
+    def _clear(self) -> None:
+        # sorted word hashes with the place and number of their ids in flat
+        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.hits = np.zeros(0, np.int32)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _splits_stops(self) -> bool:
+        """Whether a full stop or comma after a letter is a token of its own."""
+        ids = lambda x: self.t.encode(x, add_special_tokens=False).ids
+        return all(ids(w + p) == ids(w) + ids(p) for w in ("a", "then", "qz", "Word") for p in ".,")
+
+    def _forget(self) -> None:
+        """Keeps the words that came in more than one slice, or nothing if those are too many."""
+        keep = self.hits > 1
+        if keep.sum() > self.most // 2:
+            self._clear()
+            return
+        at, size = self.at[keep].astype(np.int64), self.size[keep].astype(np.int64)
+        upto = np.cumsum(size)
+        flat = self.flat[np.repeat(at - (upto - size), size) + np.arange(int(size.sum()))]
+        self.keys, self.size, self.at, self.hits = self.keys[keep], self.size[keep], (upto - size).astype(np.int32), np.ones(int(keep.sum()), np.int32)
+        self.flat, self.used = np.concatenate([flat, np.zeros(max(1 << 16, len(flat)), np.uint32)]), len(flat)
+
+    def _alone(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.t.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _together(self, words: list[str]) -> list[list[int]]:
+        out = []
+        for i in range(0, len(words), 1000):
+            part = words[i : i + 1000]
+            ids = self.t.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids
+            cut = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(cut) == len(part) and cut[-1] == len(ids):
+                out += [ids[x:y] for x, y in zip([0, *cut], cut)]
             else:
-                for w in ws:
-                    got += ids[w]
-            got.append(end)
-            out.append(np.array(got, np.uint32))
+                out += self._alone(part)
         return out
 
+    def _encode(self, words: list[str]) -> list[list[int]]:
+        if not self.last.any():
+            return self._alone(words)
+        stems = [w[:-1] if w[-1] in ".," else w for w in words]
+        plain = list({x for x in stems if x.isalpha()})
+        known = dict(zip(plain, self._together(plain))) if plain else {}
+        ends = dict(zip(".,", self._alone([".", ","])))
+        rest = [w for w, x in zip(words, stems) if x not in known]
+        known |= dict(zip(rest, self._alone(rest))) if rest else {}
+        return [known[w] if w in known else known[x] + ends[w[-1]] for w, x in zip(words, stems)]
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        got = self._encode(words)
+        k = sum(map(len, got))
+        while self.used + k > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        size = np.array([len(x) for x in got], np.int32)
+        self.flat[self.used : self.used + k] = np.fromiter(chain.from_iterable(got), np.uint32, k)
+        where = np.searchsorted(self.keys, hashes)
+        self.at = np.insert(self.at, where, (self.used + np.cumsum(size) - size).astype(np.int32))
+        self.size = np.insert(self.size, where, size)
+        self.keys = np.insert(self.keys, where, hashes)
+        self.hits = np.insert(self.hits, where, 0)
+        self.used += k
+
+    def encode(self, data: np.ndarray, offs: np.ndarray, end: int) -> list[np.ndarray]:
+        """Ids of each text of the slice, with the end id."""
+        if len(self.keys) > self.most:
+            self._forget()
+        s, e, first = _spans(data, offs) if self.stops else word_spans(data, offs, SPACED)
+        if not len(s):
+            return [np.array([end], np.uint32)] * (len(offs) - 1)
+        h, one, inv = np.unique(span_hash(prefix_hash(data, lower=self.lower), s, e), return_index=True, return_inverse=True)
+        i = np.searchsorted(self.keys, h)
+        known = np.zeros(len(h), bool)
+        inside = i < len(self.keys)
+        known[inside] = self.keys[i[inside]] == h[inside]
+        if not known.all():
+            raw, new = data.tobytes(), one[~known]
+            self._learn(h[~known], [raw[x:y].decode() for x, y in zip(s[new].tolist(), e[new].tolist())])
+            i = np.searchsorted(self.keys, h)
+        self.hits[i] += 1
+        at, size = self.at[i][inv].astype(np.int64), self.size[i][inv].astype(np.int64)
+        upto = np.cumsum(size)
+        ids = self.flat[np.repeat(at - (upto - size), size) + np.arange(upto[-1])]
+        cut = np.concatenate([[0], upto])[first]
+        return [np.append(ids[i:j], np.uint32(end)) for i, j in zip(cut[:-1], cut[1:])]
+
+
+_caches: dict[str, WordCache] = {}
+
+
+def word_cache(path: str) -> WordCache:
+    """One for all tasks of a Python worker."""
+    if path not in _caches:
+        _caches[path] = WordCache(path)
+    return _caches[path]
+
 
 def write_blocks(docs: DataFrame, path: str, tokenizer: str, end: int = 1, block_ids: int = BLOCK_IDS, shard_bytes: int = SHARD_BYTES) -> None:
     """Writes docs (doc_id, text) to path: a row a block, with its shard, its place in it and the payload."""
@@ -192,7 +299,7 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str, end: int = 1, block
     schema = "shard int, block int, start bigint, n_docs int, n_ids bigint, payload binary"
 
     def write(batches):
-        cache, now = WordCache(tokenizer), {"shard": None}
+        cache, now = word_cache(tokenizer), {"shard": None}
         held: list[np.ndarray] = []
         ids: list = []
 
@@ -207,9 +314,9 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str, end: int = 1, block
 
         waiting = 0
         for b in batches:
-            for i in range(0, b.num_rows, 200):
-                part = b.slice(i, 200)
-                for s, doc, x in zip(part.column("shard").to_pylist(), part.column("doc_id").to_pylist(), cache.encode(part.column("text").to_pylist(), end)):
+            for i, j, data, offs in byte_slices(b.column("text"), 400_000):
+                part = b.slice(i, j - i)
+                for s, doc, x in zip(part.column("shard").to_pylist(), part.column("doc_id").to_pylist(), cache.encode(data, offs, end)):
                     if s != now["shard"] or waiting and waiting + len(x) > block_ids:
                         if held:
                             yield flush()
