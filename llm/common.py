@@ -65,6 +65,17 @@ def byte_slices(texts: pa.Array, most: int = 2_000_000):
         i = j
 
 
+def trim() -> None:
+    """Gives freed memory of this Python worker back; workers live on from task to task."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to give back by hand
+        pass
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A full-avalanche 64-bit mixer (splitmix finaliser)."""
     x = x.astype(np.uint64, copy=True)
@@ -148,8 +159,8 @@ def ship(spark: SparkSession) -> None:
     import zipfile
 
     sc = spark.sparkContext
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # rows are whole texts
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # rows are whole texts
     if getattr(sc, "_llm_shipped", False):
         return
     here = os.path.dirname(os.path.abspath(__file__))

@@ -11,6 +11,7 @@ from .hpylm import op4_pitman_yor
 from .lattice import op2_e8_lattice
 from .lines import op7_fuzzy_lines
 from .mixing import op5_mixing
+from .oracles import E8_LATTICE, SUFFIX_DEDUP
 from .order_minhash import op3_order_minhash
 from .suffixes import op6_suffix_dedup
 from .tokens import op10_token_ids
@@ -41,4 +42,4 @@ QUERIES = {
         op10_token_ids,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_e8_lattice": E8_LATTICE, "op6_suffix_dedup": SUFFIX_DEDUP}

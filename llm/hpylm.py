@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, byte_slices, prefix_hash, signed, span_hash, stored, text_of, word_spans
+from .common import SPACED, byte_slices, prefix_hash, signed, span_hash, stored, text_of, trim, word_spans
 
-BATCH, EXACT, PASSES, SWEEPS, SAMPLES = 12_000_000, 32, 2, 2, 3
+BATCH, EXACT, PASSES, SWEEPS, SAMPLES = 8_000_000, 32, 2, 2, 3
 STRENGTH, FOLDS, HELD = 1.0, 7, 2
 START = 10  # a line feed never ends a word
 _END = np.array([0xE7037ED1A0B428DB], np.uint64)
@@ -97,6 +97,7 @@ def _count(docs: DataFrame, buckets: int, batch_bytes: int) -> DataFrame:
             batch = (part << 24) + seq
             seq += 1
             held.clear()
+            trim()
             word, inv = np.unique(tok, return_inverse=True)
             pair, num = np.unique(inv.astype(np.int64) << 8 | ctx, return_inverse=True)
             cnt = np.bincount(num, weights=np.repeat(~out_of, n), minlength=len(pair)).astype(np.uint32)
@@ -147,6 +148,7 @@ def _merge(rows: DataFrame) -> DataFrame:
             start = np.concatenate([g["start"] for _, g in got])
             blob = pack(words=np.array([len(word)]), pair=pair[seen], c=total[seen], batch=batch, asks=inv.astype(np.uint32), start=start, n=n.astype(np.uint16), ctx=ctx)
             held.clear()
+            trim()
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "data"])
 
         for b in batches:

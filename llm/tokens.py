@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, byte_slices, prefix_hash, shared_dir, span_hash, text_of, word_spans
+from .common import SPACED, byte_slices, prefix_hash, shared_dir, span_hash, text_of, trim, word_spans
 
 BLOCK_IDS = 1 << 18
 SHARD_BYTES = 32_000_000
@@ -169,7 +169,7 @@ class WordCache:
     if their number is not the words', and for all other words, each goes alone.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 450_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -299,12 +299,15 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str, end: int = 1, block
     schema = "shard int, block int, start bigint, n_docs int, n_ids bigint, payload binary"
 
     def write(batches):
+        trim()
         cache, now = word_cache(tokenizer), {"shard": None}
         held: list[np.ndarray] = []
         ids: list = []
 
         def flush():
             n = sum(map(len, held))
+            if now["block"] % 8 == 7:
+                trim()
             row = [now["shard"], now["block"], now["start"], len(held), n, encode_block(held, ids)]
             now["block"] += 1
             now["start"] += n
