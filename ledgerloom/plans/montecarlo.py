@@ -189,6 +189,7 @@ def paths(trades: DataFrame, firm: Firm, cells: list[Config], outer: list[int] |
     todo = prof.crossJoin(F.broadcast(grid))  # the work list itself: every log runs every block
     todo = todo.repartition(min(2 * spark.sparkContext.defaultParallelism, max(2, len(cells) * len(ids) * blocks)), "log_id", "cell", "outer", "block")
     names = [c.split()[0] for c in _PATH.split(", ")]
+    subset = days is not None
 
     def run(frames):
         for f in frames:
@@ -198,7 +199,7 @@ def paths(trades: DataFrame, firm: Firm, cells: list[Config], outer: list[int] |
                 if n <= 0 or not len(r.trades):
                     continue
                 p, pnl, parts = _profile_of(r.trades)
-                if days is not None:  # close up the gaps that the filter left
+                if subset:  # close up the gaps that the filter left
                     p = p.rows(np.flatnonzero(p.n))
                 if r.outer >= 0:
                     rng = _generator(cfg.seed, r.log_id, 1000 + r.outer, 0)
