@@ -1,26 +1,13 @@
 import random
 
 import pytest
-
-VOCAB = None
-
-
-def words(rng, n, size=4000):
-    return ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) + str(rng.randrange(size) % 7) for _ in range(n)]
-
-
-def prose(rng, n):
-    return " ".join(words(rng, n))
-
+from llm_data import SCHEMA
 
 @pytest.fixture
 def rng():
     return random.Random(11)
 
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-
-
 @pytest.fixture
 def make_docs(spark):
     def make(texts, sources=None, ids=None):

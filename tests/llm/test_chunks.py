@@ -1,5 +1,5 @@
 import numpy as np
-from conftest import prose
+from llm_data import prose
 
 from llm.chunks import LEAST, cut, gear, removals, strip
 from llm.common import keyed

@@ -1,4 +1,4 @@
-from conftest import SCHEMA, prose, words
+from llm_data import SCHEMA, prose, words
 
 from llm.decontaminate import decontaminate, overlaps
 

@@ -3,7 +3,7 @@ import re
 import zlib
 
 import numpy as np
-from conftest import SCHEMA
+from llm_data import SCHEMA
 
 from llm.hpylm import draw_tables, log_stirling, perplexity, scores
 

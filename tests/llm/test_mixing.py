@@ -1,5 +1,5 @@
 import numpy as np
-from conftest import SCHEMA, prose
+from llm_data import SCHEMA, prose
 from pyspark.sql import functions as F
 
 from llm.mixing import Mix, mix, split_tree, targets

@@ -1,5 +1,5 @@
 import pytest
-from conftest import SCHEMA, prose
+from llm_data import SCHEMA, prose
 
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline as P  # noqa: E402

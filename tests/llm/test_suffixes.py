@@ -2,7 +2,7 @@ import hashlib
 from collections import Counter
 
 import pytest
-from conftest import prose
+from llm_data import prose
 
 from llm import suffixes
 from llm.suffixes import _named, _with, removals

@@ -1,7 +1,7 @@
 import zlib
 
 import numpy as np
-from conftest import SCHEMA, prose
+from llm_data import SCHEMA, prose
 
 from llm.toxicity import Model, _bag, reject_toxic, scores, train
 
