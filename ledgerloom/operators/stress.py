@@ -187,25 +187,35 @@ def pbo(variants: DataFrame, blocks: int = 16, seed: int = 0) -> DataFrame:
     day = variants.select("day").distinct().withColumn("i", F.row_number().over(Window.orderBy("day")) - 1)  # one row a day
     day = day.withColumn("block", F.floor(F.col("i") / per).cast("int")).where(F.col("block") < blocks)
     cells = variants.join(F.broadcast(day.select("day", "block")), "day").groupBy("variant", "block").agg(F.sum("pnl").alias("s"), F.sum(F.col("pnl") * F.col("pnl")).alias("q"))
-    w = cells.groupBy("variant").agg(F.transform(F.sort_array(F.collect_list(F.struct("block", "s", "q"))), lambda x: F.struct(x["s"], x["q"])).alias("c"))
+    table = cells.agg(F.sort_array(F.collect_list(F.struct("variant", "block", "s", "q"))).alias("c"))  # variants x blocks numbers, checked above
+    table = table.select(F.transform("c", lambda x: x["s"]).alias("s"), F.transform("c", lambda x: x["q"]).alias("q"))
     masks = spark.createDataFrame([(i, m) for i, m in enumerate(split_masks(blocks, seed))], "split int, mask bigint").repartition(8)
-    j = masks.crossJoin(F.broadcast(w))  # one row a variant, checked above
+    j = masks.crossJoin(F.broadcast(table))  # one row
     half = float(per * blocks // 2)
 
-    def sharpe(inside: bool) -> Column:
-        take = lambda x, i: (F.shiftright("mask", i).bitwiseAND(F.lit(1)) == (1 if inside else 0))
-        tot = lambda k: F.aggregate(F.filter(F.transform("c", lambda x, i: F.struct(x[k].alias("v"), F.expr("1").alias("o"), i.alias("i"))), lambda x: (F.shiftrightunsigned("mask", 0) / F.pow(F.lit(2.0), x["i"])).cast("bigint").bitwiseAND(F.lit(1)) == (1 if inside else 0)), F.lit(0.0), lambda a, x: a + x["v"])
-        s, q = tot("s"), tot("q")
-        mean = s / half
-        var = (q - s * s / half) / (half - 1)
-        return F.when(var > 1e-18, mean / F.sqrt(F.when(var > 1e-18, var))).when(mean > 0, INF).otherwise(-INF)
-
-    j = j.select("split", "variant", sharpe(True).alias("is_sr"), sharpe(False).alias("oos_sr"))
-    p = Window.partitionBy("split")
-    rank = F.rank().over(p.orderBy("oos_sr")) + (F.count("*").over(Window.partitionBy("split", "oos_sr")) - 1) / 2.0
-    j = j.withColumn("rank", rank).withColumn("top", F.row_number().over(p.orderBy(F.desc("is_sr"), "variant")))
-    omega = F.col("rank") / (len(names) + 1.0)
-    best = j.where("top = 1").withColumn("omega", omega)
+    def sharpes(inside: np.ndarray, s: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """(splits, variants) from 0/1 rows of blocks and block sums."""
+        t, u = inside @ s.T, inside @ q.T
+        mean = t / half
+        var = (u - t * t / half) / (half - 1)
+        flat = var <= 1e-18
+        return np.where(flat, np.where(mean > 0, INF, -INF), mean / np.sqrt(np.where(flat, 1.0, var)))
+
+    def run(frames):
+        for f in frames:
+            if not len(f):
+                continue
+            s, q = (np.asarray(f[k].iloc[0], float).reshape(-1, blocks) for k in ("s", "q"))
+            for i in range(0, len(f), 256):
+                part = f.iloc[i : i + 256]
+                bits = (part["mask"].to_numpy()[:, None] >> np.arange(blocks) & 1).astype(float)
+                a, o = sharpes(bits, s, q), sharpes(1 - bits, s, q)
+                top = a.argmax(1)  # ties go to the first
+                mine = np.take_along_axis(o, top[:, None], 1)
+                rank = (o < mine).sum(1) + ((o == mine).sum(1) + 1) / 2
+                yield pd.DataFrame({"split": part["split"].to_numpy(), "omega": rank / (len(s) + 1.0), "is_sr": a[np.arange(len(a)), top], "oos_sr": mine[:, 0]})
+
+    best = j.mapInPandas(run, "split int, omega double, is_sr double, oos_sr double")
     g = best.agg(
         F.count("*").alias("n_splits"),
         (F.avg((F.col("omega") < 0.5).cast("double")) + 0.5 * F.avg((F.col("omega") == 0.5).cast("double"))).alias("pbo"),

@@ -7,25 +7,25 @@ kernel (operators.kernel) runs the block and gives one row a path, and everythin
 
 from __future__ import annotations
 
-import json
 import math
-from dataclasses import asdict, dataclass, replace
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..config import ContractLimit, Firm, ScalingPlan, SessionClose
+from ..config import ContractLimit, Firm, SessionClose
 from ..errors import ConfigError, LedgerError
 from ..functions.contracts import mini_units
 from ..operators import kernel as K
 from ..operators import metrics as M
 from ..operators.replay import close_violations
 
-BLOCK = 500
+BLOCK = 1250
 MIN_DAYS = 30
+FIELDS = ("day", "entry", "exit", "units", "pnl", "mae", "mfe")
 
 
 @dataclass(frozen=True)
@@ -77,21 +77,28 @@ class Config:
 
 
 def profiles(trades: DataFrame, firm: Firm) -> DataFrame:
-    """A row a log: its trades in order as (day, low, high, close, low_first), cadence, exposure, fidelity."""
-    b = firm.day_boundary
-    t = trades.withColumn("session_date", b.date("exit_time"))
-    t = t.withColumn("day", F.dense_rank().over(Window.partitionBy("log_id").orderBy("session_date")) - 1)
-    w = Window.partitionBy("log_id", "day").orderBy("trade_seq")
-    before = F.coalesce(F.sum("pnl").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    p = F.col("pnl")
-    lo = F.when(F.col("mae").isNotNull(), F.least("mae", p)).otherwise(p)
-    hi = F.when(F.col("mfe").isNotNull(), F.greatest("mfe", p)).otherwise(p)
-    r = F.struct("trade_seq", F.col("day").cast("int").alias("day"), (before + lo).alias("lo"), (before + hi).alias("hi"), (before + p).alias("cl"), (F.col("mae").isNotNull() & F.col("mfe").isNull()).alias("lf"), p.alias("pnl"))
-    g = t.select("log_id", r.alias("r")).groupBy("log_id").agg(F.sort_array(F.collect_list("r")).alias("trades"))
-    d = trades.groupBy("log_id", b.date("exit_time").alias("session_date")).agg(F.lit(1).alias("x"))
+    """A row a log: its trades in order, an array a field. One exchange; days and levels are told from it in the kernel."""
     limit = next((c for ph in (*firm.phases, firm.funded) for c in ph.of(ContractLimit)), None)
-    size = M.peak_exposure(trades, mini_units(limit.micros_multiplier) if limit else None)
-    return g.join(M.cadence(d).select("log_id", "sessions_per_week"), "log_id").join(size, "log_id").join(M.fidelity(trades, b).select("log_id", "fidelity"), "log_id")
+    units = mini_units(limit.micros_multiplier) if limit else F.abs("quantity")
+    r = F.struct("trade_seq", F.unix_date(firm.day_boundary.date("exit_time")).alias("day"), F.unix_micros("entry_time").alias("entry"), F.unix_micros("exit_time").alias("exit"), units.alias("units"), "pnl", "mae", "mfe")
+    g = trades.select("log_id", r.alias("r")).groupBy("log_id").agg(F.sort_array(F.collect_list("r")).alias("t"))
+    field = lambda k: F.transform("t", lambda x: x[k]).alias(k)
+    return g.select("log_id", *map(field, FIELDS))
+
+
+def cadence_of(days: np.ndarray) -> float:
+    """Sessions a complete Monday-to-Sunday week of day numbers since 1970-01-01 (a Thursday); 5 where under two weeks are complete."""
+    d = np.unique(days)
+    first = int(d[0]) + (4 - int(d[0])) % 7
+    weeks = (int(d[-1]) - first + 1) // 7
+    inside = ((d >= first) & (d < first + 7 * weeks)).sum() if weeks > 0 else 0
+    return min(7.0, inside / weeks) if weeks >= 2 and inside else M.DEFAULT_CADENCE
+
+
+def exposure_of(entry: np.ndarray, exit_: np.ndarray, units: np.ndarray) -> float:
+    """Greatest quantity open at once, entries before exits at equal times."""
+    ts, kind = np.concatenate([entry, exit_]), np.repeat([0, 1], len(entry))
+    return float(np.cumsum(np.concatenate([units, -units])[np.lexsort((kind, ts))]).max())
 
 
 def screen(trades: DataFrame, firm: Firm) -> None:
@@ -107,7 +114,7 @@ def screen(trades: DataFrame, firm: Firm) -> None:
 
 # --- a block ------------------------------------------------------------------------------------
 
-_PATH = "log_id bigint, cell int, path_id bigint, passed boolean, days_used int, outcome int, end_day int, funded_outcome int, funded_end int, withdrawn double, payouts int, first_payout int, max_drawdown double, funded_drawdown double, lockouts int, fail_rule string, final_balance double"
+_PATH = "log_id bigint, cell int, path_id bigint, passed boolean, days_used int, outcome int, end_day int, funded_outcome int, funded_end int, withdrawn double, payouts int, first_payout int, max_drawdown double, funded_drawdown double, lockouts int, fail_rule string, final_balance double, sessions_per_week double"
 
 
 def _generator(seed: int, log_id: int, stream: int, block: int) -> np.random.Generator:
@@ -167,10 +174,30 @@ def run_block(p: K.Profile, firm: Firm, cfg: Config, n: int, seed: tuple, per_we
     }
 
 
-def _profile_of(trades) -> tuple[K.Profile, np.ndarray, tuple]:
-    day, lo, hi, cl, lf, pnl = (np.array([t[k] for t in trades]) for k in ("day", "lo", "hi", "cl", "lf", "pnl"))
-    start = cl - pnl
-    return K.Profile.of(day, lo, hi, cl, lf), pnl, (lo - start, hi - start, lf)
+@dataclass
+class Source:
+    """A log as the kernel needs it."""
+
+    profile: K.Profile
+    pnl: np.ndarray
+    parts: tuple  # each trade's low and high from its start, and whether the low comes first
+    per_week: float
+    base: float
+
+    @classmethod
+    def of(cls, r) -> Source:
+        pnl, mae, mfe = (np.asarray(getattr(r, k), float) for k in ("pnl", "mae", "mfe"))
+        days = np.asarray(r.day)
+        _, day = np.unique(days, return_inverse=True)
+        first = np.flatnonzero(np.concatenate([[True], day[1:] != day[:-1]]))
+        n = np.diff(np.concatenate([first, [len(day)]]))
+        # sums start anew each day, as a running sum of the day would
+        before = np.concatenate([np.concatenate([[0.0], np.cumsum(pnl[i : i + k - 1])]) for i, k in zip(first, n)])
+        lo = np.where(np.isnan(mae), pnl, np.minimum(mae, pnl))
+        hi = np.where(np.isnan(mfe), pnl, np.maximum(mfe, pnl))
+        lf = ~np.isnan(mae) & np.isnan(mfe)
+        p = K.Profile.of(day, before + lo, before + hi, before + pnl, lf)
+        return cls(p, pnl, (lo, hi, lf), cadence_of(days), exposure_of(*(np.asarray(getattr(r, k)) for k in ("entry", "exit", "units"))))
 
 
 def paths(trades: DataFrame, firm: Firm, cells: list[Config], outer: list[int] | None = None, logs: DataFrame | None = None, days: DataFrame | None = None) -> DataFrame:
@@ -180,36 +207,41 @@ def paths(trades: DataFrame, firm: Firm, cells: list[Config], outer: list[int] |
     """
     prof = logs if logs is not None else profiles(trades, firm)
     if days is not None:
-        keep = days.groupBy("log_id").agg(F.collect_set("day").alias("keep"))
-        prof = prof.join(keep, "log_id").withColumn("trades", F.filter("trades", lambda t: F.array_contains("keep", t["day"]))).drop("keep")
+        prof = prof.join(days.groupBy("log_id").agg(F.collect_set("day").alias("keep")), "log_id")
     spark = prof.sparkSession
-    blocks = math.ceil(max(c.n_paths for c in cells) / BLOCK)
     ids = outer if outer is not None else [-1]
+    size = BLOCK
+    blocks = math.ceil(max(c.n_paths for c in cells) / size)
     grid = spark.createDataFrame([(i, o, b) for i in range(len(cells)) for o in ids for b in range(blocks)], "cell int, outer int, block int")
     todo = prof.crossJoin(F.broadcast(grid))  # the work list itself: every log runs every block
-    todo = todo.repartition(min(2 * spark.sparkContext.defaultParallelism, max(2, len(cells) * len(ids) * blocks)), "log_id", "cell", "outer", "block")
+    work = len(cells) * len(ids) * blocks
+    todo = todo.repartition(min(4 * spark.sparkContext.defaultParallelism, 64 * work))  # round robin: blocks are alike
     names = [c.split()[0] for c in _PATH.split(", ")]
     subset = days is not None
 
     def run(frames):
         for f in frames:
+            seen: dict[int, Source] = {}
             for r in f.itertuples():
                 cfg = cells[r.cell]
-                n = min(BLOCK, cfg.n_paths - r.block * BLOCK)
-                if n <= 0 or not len(r.trades):
+                n = min(size, cfg.n_paths - r.block * size)
+                if n <= 0 or not len(r.pnl):
                     continue
-                p, pnl, parts = _profile_of(r.trades)
-                if subset:  # close up the gaps that the filter left
-                    p = p.rows(np.flatnonzero(p.n))
+                if r.log_id not in seen:
+                    seen = {r.log_id: Source.of(r)}
+                s = seen[r.log_id]
+                p = s.profile
+                if subset:
+                    p = p.rows(np.sort(np.asarray(r.keep, int)))
                 if r.outer >= 0:
                     rng = _generator(cfg.seed, r.log_id, 1000 + r.outer, 0)
                     block = (cfg.block_len or K.auto_block(p.day_pnl)) if p.days >= MIN_DAYS else None
                     p = p.rows(K.draw_days(rng, p.days, 1, p.days, block)[0])
                 if cfg.bootstrap == "iid_trade":
-                    p = _iid_trades(p, pnl, parts, _generator(cfg.seed, r.log_id, 900, 0))
-                out = run_block(p, firm, cfg, n, (cfg.seed, r.log_id, r.block), r.sessions_per_week, r.peak_exposure)
+                    p = _iid_trades(p, s.pnl, s.parts, _generator(cfg.seed, r.log_id, 900, 0))
+                out = run_block(p, firm, cfg, n, (cfg.seed, r.log_id, r.block), s.per_week, s.base)
                 cell = r.cell if r.outer < 0 else r.outer
-                yield pd.DataFrame({"log_id": r.log_id, "cell": cell, "path_id": r.block * BLOCK + np.arange(n)} | out)[names]
+                yield pd.DataFrame({"log_id": r.log_id, "cell": cell, "path_id": r.block * size + np.arange(n), "sessions_per_week": s.per_week} | out)[names]
 
     return todo.mapInPandas(run, _PATH)
 
@@ -217,10 +249,10 @@ def paths(trades: DataFrame, firm: Firm, cells: list[Config], outer: list[int] |
 # --- economics ------------------------------------------------------------------------------------
 
 
-def with_money(p: DataFrame, firm: Firm, cadence: DataFrame) -> DataFrame:
+def with_money(p: DataFrame, firm: Firm) -> DataFrame:
     """Paths with fees, value and net of each."""
     fees, pay = firm.fees, firm.payout
-    j = p.join(cadence.select("log_id", "sessions_per_week"), "log_id").withColumn("per_month", 21.0 * F.col("sessions_per_week") / 5.0)
+    j = p.withColumn("per_month", 21.0 * F.col("sessions_per_week") / 5.0)
     months = F.greatest(F.ceil(F.col("days_used") / F.col("per_month")), F.lit(1)).cast("double")
     base = F.lit(float(fees.one_time)) if fees.one_time > 0 else fees.monthly * months
     j = j.withColumn("attempt_fees", base + fees.extra_monthly * months)
@@ -233,13 +265,12 @@ def with_money(p: DataFrame, firm: Firm, cadence: DataFrame) -> DataFrame:
     return j.withColumn("net", -F.col("attempt_fees") + F.when(F.col("passed"), F.col("funded_value")).otherwise(0.0))
 
 
-def economics(p: DataFrame, firm: Firm, cadence: DataFrame) -> DataFrame:
+def economics(p: DataFrame, firm: Firm) -> DataFrame:
     """Per log and cell: probabilities, quantiles, expected values and their exact parts."""
-    m = with_money(p, firm, cadence)
+    m = with_money(p, firm)
     ok = F.col("passed")
     got = F.col("payouts") >= 1
-    q5 = m.groupBy("log_id", "cell").agg(F.percentile("net", F.lit(0.05)).alias("var_95"))
-    m = m.join(q5, ["log_id", "cell"])
+    # the tail mean needs the quantile first: both come from the sorted nets of a cell, paths a cell being bounded by the configuration
     part = lambda c: F.avg(F.when(ok, c).otherwise(0.0))
     quantiles = F.array(*map(F.lit, (0.05, 0.25, 0.5, 0.75, 0.95)))
     g = m.groupBy("log_id", "cell").agg(
@@ -247,8 +278,8 @@ def economics(p: DataFrame, firm: Firm, cadence: DataFrame) -> DataFrame:
         F.count_if(ok).alias("n_passed"),
         F.avg(ok.cast("double")).alias("pass_prob"),
         F.avg("net").alias("expected_net"),
-        F.first("var_95").alias("var_95"),
-        F.avg(F.when(F.col("net") <= F.col("var_95"), F.col("net"))).alias("cvar_95"),
+        F.percentile("net", F.lit(0.05)).alias("var_95"),
+        F.collect_list("net").alias("_nets"),
         (-F.avg("attempt_fees")).alias("ev_eval_fees"),
         part(F.col("gross") + F.col("refund")).alias("ev_payout_value"),
         (-part(F.lit(float(firm.fees.activation)))).alias("ev_activation"),
@@ -266,6 +297,8 @@ def economics(p: DataFrame, firm: Firm, cadence: DataFrame) -> DataFrame:
         F.percentile("max_drawdown", quantiles).alias("drawdown_quantiles"),
         F.avg((F.col("lockouts") > 0).cast("double")).alias("lockout_rate"),
     )
+    low = F.filter("_nets", lambda x: x <= F.col("var_95"))
+    g = g.withColumn("cvar_95", F.aggregate(F.array_sort(low), F.lit(0.0), lambda a, x: a + x) / F.size(low)).drop("_nets")
     n, k, z = F.col("n_paths").cast("double"), F.col("n_passed").cast("double"), 1.959963984540054
     share = k / n
     mid, den = share + z * z / (2 * n), 1 + z * z / n
@@ -308,7 +341,7 @@ def run(trades: DataFrame, firm: Firm, cfg: Config = Config()) -> DataFrame:
     """The simulation of every log: a row a log."""
     screen(trades, firm)
     prof = profiles(trades, firm)
-    return economics(paths(trades, firm, [cfg], logs=prof), firm, prof)
+    return economics(paths(trades, firm, [cfg], logs=prof), firm)
 
 
 # --- grids ------------------------------------------------------------------------------------------
@@ -321,7 +354,7 @@ def frontier(trades: DataFrame, firm: Firm, cfg: Config = Config(n_paths=2000),
     """Per log and scale: economics, whether it has the best EV, and whether it is the largest within the ruin cap."""
     screen(trades, firm)
     prof = profiles(trades, firm)
-    e = economics(paths(trades, firm, [replace(cfg, scale=s) for s in scales], logs=prof), firm, prof)
+    e = economics(paths(trades, firm, [replace(cfg, scale=s) for s in scales], logs=prof), firm)
     e = e.withColumn("scale", F.element_at(F.array(*map(F.lit, scales)), F.col("cell") + 1))
     w = Window.partitionBy("log_id")
     best = F.max_by("cell", F.struct("expected_net", -F.col("cell"))).over(w)
@@ -335,7 +368,7 @@ def policies(trades: DataFrame, firm: Firm, cfg: Config = Config(n_paths=2000),
     prof = profiles(trades, firm)
     grid = [(b, x) for b in buffers for x in extracts]
     cells = [replace(cfg, payout_policy="keep_buffer" if b else "asap", keep_buffer=b, extract_weight=x) for b, x in grid]
-    e = economics(paths(trades, firm, cells, logs=prof), firm, prof)
+    e = economics(paths(trades, firm, cells, logs=prof), firm)
     keys = trades.sparkSession.createDataFrame([(i, float(b), None if x is None else float(x)) for i, (b, x) in enumerate(grid)], "cell int, keep_buffer double, extract_weight double")
     e = e.join(F.broadcast(keys), "cell")
     w = Window.partitionBy("log_id")
@@ -349,18 +382,18 @@ def policies(trades: DataFrame, firm: Firm, cfg: Config = Config(n_paths=2000),
 def uncertainty(trades: DataFrame, firm: Firm, cfg: Config = Config(n_paths=500), outer: int = 100) -> DataFrame:
     """Per log: what the source sample alone leaves open: quantiles over outer resamples of the source days, one job."""
     prof = profiles(trades, firm)
-    e = economics(paths(trades, firm, [cfg], outer=list(range(outer)), logs=prof), firm, prof)
+    e = economics(paths(trades, firm, [cfg], outer=list(range(outer)), logs=prof), firm)
     q = F.array(*map(F.lit, (0.05, 0.5, 0.95)))
     g = e.groupBy("log_id").agg(F.count("*").alias("n_outer"), F.percentile("pass_prob", q).alias("p"), F.percentile("expected_net", q).alias("ev"))
     return g.select("log_id", "n_outer", *[F.col("p")[i].alias(f"pass_{n}") for i, n in enumerate(("lo", "mid", "hi"))], *[F.col("ev")[i].alias(f"ev_{n}") for i, n in enumerate(("lo", "mid", "hi"))], (F.col("p")[2] - F.col("p")[0] > 0.2).alias("wide"))
 
 
-def multi_account(p: DataFrame, firm: Firm, cadence: DataFrame, k: int) -> DataFrame:
+def multi_account(p: DataFrame, firm: Firm, k: int) -> DataFrame:
     """Per log: k copies of one account against the sum of k independent ones, by expected net and CVaR.
 
     Copies lose together: k times the path. Independent accounts are k paths a fixed hash apart.
     """
-    m = with_money(p, firm, cadence).select("log_id", "path_id", "net")
+    m = with_money(p, firm).select("log_id", "path_id", "net")
     n = m.groupBy("log_id").agg(F.count("*").alias("n"))
     m = m.join(n, "log_id").withColumn("i", F.row_number().over(Window.partitionBy("log_id").orderBy(F.xxhash64("path_id"), "path_id")) - 1)
     ind = m.select("log_id", "i", "n", "net", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j"))

@@ -513,7 +513,7 @@ def q_sampling_uncertainty(spark, sf_dir):
 def q_multi_account(spark, sf_dir):
     t, firm = trades_li(spark, sf_dir), C.PRESETS["topstep_50k"]
     prof = MC.profiles(t, firm)
-    return MC.multi_account(MC.paths(t, firm, [MC.Config(n_paths=1000)], logs=prof), firm, prof, 3)
+    return MC.multi_account(MC.paths(t, firm, [MC.Config(n_paths=1000)], logs=prof), firm, 3)
 
 
 @query()
@@ -524,4 +524,4 @@ def q_worst_regime(spark, sf_dir):
     keep = coded.join(worst, "log_id").where("code = worst_code").select("log_id", F.col("day_idx").cast("int").alias("day"))
     firm = C.PRESETS["topstep_50k"]
     prof = MC.profiles(t, firm)
-    return MC.economics(MC.paths(t, firm, [MC.Config(n_paths=1000)], logs=prof, days=keep), firm, prof)
+    return MC.economics(MC.paths(t, firm, [MC.Config(n_paths=1000)], logs=prof, days=keep), firm)

@@ -56,7 +56,7 @@ def test_uncertainty_and_accounts(trades):
     u = rows(MC.uncertainty(trades, FIRM, MC.Config(n_paths=100, challenge_days=60, funded_days=60), 6))
     assert u[0]["n_outer"] == 6 and u[0]["pass_lo"] <= u[0]["pass_mid"] <= u[0]["pass_hi"]
     prof = MC.profiles(trades, FIRM)
-    m = rows(MC.multi_account(MC.paths(trades, FIRM, [SMALL], logs=prof), FIRM, prof, 3))
+    m = rows(MC.multi_account(MC.paths(trades, FIRM, [SMALL], logs=prof), FIRM, 3))
     assert m[0]["copied_ev"] == pytest.approx(m[0]["independent_ev"]) and m[0]["copied_cvar"] <= m[0]["independent_cvar"] + 1e-6
 
 
