@@ -1,10 +1,11 @@
 """Substring dedup by content-defined chunking.
 
-A gear rolling hash over 32 bytes cuts each text (UTF-8) where its top bits are zero and a character starts, with
+A gear rolling hash over 16 bytes cuts each text (UTF-8) where its top bits are zero and a character starts, with
 a least and a greatest chunk size; chunks of equal 128-bit digests are one, however far an insertion moved them.
-The first of them by (doc_id, text hash, place) stays, the others go. Chunks below `least` bytes (a text's last
-one) are never taken for repeats. Null text: empty, no chunks. A null doc_id comes first. Equal rows are one
-document and are decided alike. Empty tables give no rows.
+The first of them by (doc_id, text hash, place) stays; the others are repeats, and runs of touching repeats of RUN
+bytes or more go, so that a few common words in a row are not taken for a passage. Chunks below `least` bytes (a
+text's last one) are never taken for repeats. Null text: empty, no chunks. A null doc_id comes first. Equal rows
+are one document and are decided alike. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -16,21 +17,21 @@ from pyspark.sql import functions as F
 
 from .common import byte_slices, keyed, signed, stored, text_of
 
-LEAST, BITS, MOST = 48, 6, 1024
+LEAST, BITS, MOST, RUN = 24, 5, 1024, 64
 _GEAR = np.random.default_rng(915).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
 def gear(data: np.ndarray) -> np.ndarray:
-    """The rolling hash after each byte: h = (h << 1) + gear[byte] mod 2^32, so 32 bytes count; by doubling."""
+    """The rolling hash after each byte: h = (h << 1) + gear[byte] mod 2^32, so that 16 bytes count; by doubling."""
     h = _GEAR[data]
-    for k in (1, 2, 4, 8, 16):
+    for k in (1, 2, 4, 8):
         if len(h) > k:
             h[k:] = h[k:] + (h[:-k] << np.uint32(k))
     return h
 
 
 def cut(data: np.ndarray, offs: np.ndarray, least: int = LEAST, bits: int = BITS, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
-    """Ends of the chunks, and how many chunks stand before each text. A boundary's hash reads bytes of its own text only where `least` >= 32."""
+    """Ends of the chunks, and how many chunks stand before each text. `least` is 16 or more, so that a boundary's hash reads bytes of its own text only."""
     h = gear(data)
     may = (h >> np.uint32(32 - bits)) == 0
     may[:-1] &= (data[1:] & 0xC0) != 0x80
@@ -102,11 +103,26 @@ def repeats(docs: DataFrame, **sizes) -> DataFrame:
     return both.where("doc_id is distinct from first.doc_id or _th <> first._th or place <> first.place").select("doc_id", "_th", "place", "bytes").distinct()
 
 
-def removals(docs: DataFrame, **sizes) -> DataFrame:
-    """A row a document (doc_id, _th): the spans that go, as byte places, and their sums."""
+def _runs(spans):
+    """Sorted spans with those that touch joined."""
+    one = lambda p, n: F.struct(p.alias("place"), n.alias("bytes"))
+    zero = F.struct(F.array().cast("array<struct<place:int,bytes:int>>").alias("done"), one(F.lit(-1), F.lit(0)).alias("now"))
+
+    def step(s, x):
+        now = s["now"]
+        touch = now["place"] + now["bytes"] == x["place"]
+        joined = one(now["place"], now["bytes"] + x["bytes"])
+        return F.struct(F.when(touch, s["done"]).otherwise(F.array_append(s["done"], now)).alias("done"), F.when(touch, joined).otherwise(one(x["place"], x["bytes"])).alias("now"))
+
+    return F.aggregate(spans, zero, step, lambda s: F.array_append(s["done"], s["now"]))
+
+
+def removals(docs: DataFrame, run: int = RUN, **sizes) -> DataFrame:
+    """A row a document that loses bytes (doc_id, _th): n_removed and the spans that go, as byte places."""
     go = repeats(docs, **sizes)
-    g = go.groupBy("doc_id", "_th").agg(F.sum("bytes").alias("n_removed"), F.sort_array(F.collect_list(F.struct("place", "bytes"))).alias("spans"))
-    return g
+    g = go.groupBy("doc_id", "_th").agg(F.sort_array(F.collect_list(F.struct("place", "bytes"))).alias("s"))
+    g = g.select("doc_id", "_th", F.filter(_runs(F.col("s")), lambda x: x["bytes"] >= run).alias("spans")).where(F.size("spans") > 0)
+    return g.select("doc_id", "_th", F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["bytes"]).alias("n_removed"), "spans")
 
 
 def strip(docs: DataFrame, **sizes) -> DataFrame:
@@ -128,6 +144,4 @@ def op9_chunk_dedup(spark, sf_dir: str) -> DataFrame:
     r = removals(docs).select(F.col("doc_id").alias("_rid"), F.col("_th").alias("_rth"), "n_removed", "spans")
     slim = docs.select("doc_id", "_th", F.octet_length(text_of(docs)).cast("bigint").alias("n_bytes"))
     j = slim.join(r, F.col("doc_id").eqNullSafe(F.col("_rid")) & (F.col("_th") == F.col("_rth")), "left")
-    # chunks that touch make one span
-    starts = F.size(F.filter("spans", lambda x: ~F.exists("spans", lambda y: y["place"] + y["bytes"] == x["place"])))
-    return j.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"), F.when(F.col("spans").isNull(), 0).otherwise(starts).cast("bigint").alias("n_spans"), "spans")
+    return j.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce(F.size("spans"), F.lit(0)).cast("bigint").alias("n_spans"), "spans")

@@ -26,10 +26,22 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends there, and a lost executor costs nothing."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    _tables.append(path)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_tables: list[str] = []
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes the tables that stored() has written so far: for when the results that read them are written themselves."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _tables:
+        path = jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def keyed(docs: DataFrame, *, th: str = "_th") -> DataFrame:
     """Adds _th, the hash of the text. (doc_id, _th) names a document: equal rows are one document, equal ids with other texts are not."""
     return docs.withColumn(th, F.xxhash64(F.coalesce("text", F.lit(""))))
