@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from llm import decontaminate as _decontaminate
 from llm import mixing, order_minhash, tokens, toxicity
-from llm.common import shared_dir, ship
+from llm.common import shared_dir, ship, sweep
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,5 +59,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         path = f"{base}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
+        sweep(spark)
         docs = spark.read.parquet(path)
     return docs
