@@ -203,3 +203,15 @@ def symbol_months(trades: DataFrame) -> DataFrame:
     best = F.max_by(F.struct("symbol", "month", "pnl"), F.struct(F.col("pnl"), -F.col("first")))
     g = m.groupBy("log_id").agg(F.count("*").alias("buckets"), best.alias("b"))
     return g.select("log_id", "buckets", F.col("b.symbol").alias("symbol"), F.col("b.month").alias("month"), F.col("b.pnl").alias("best_pnl"))
+
+
+def exposure_advice(trades: DataFrame, limit: float, units: Column | None = None) -> DataFrame:
+    """Per log: peak exposure against a contract limit; advice only, nothing is enforced by it."""
+    p = peak_exposure(trades, units)
+    return p.withColumn("contract_limit", F.lit(float(limit))).withColumn("exceeds", F.col("peak_exposure") > limit)
+
+
+def dominant_symbol(trades: DataFrame) -> DataFrame:
+    """Per log: the symbol with most trades; of several, the one that comes first."""
+    n = trades.groupBy("log_id", "symbol").agg(F.count("*").alias("n"), F.min("trade_seq").alias("first"))
+    return n.groupBy("log_id").agg(F.max_by("symbol", F.struct("n", -F.col("first"))).alias("symbol"), F.max("n").alias("n_trades"))

@@ -49,7 +49,6 @@ class Config:
     keep_buffer: float = 0.0
     payout_path: str | None = None
     extract_weight: float | None = None
-    samples: int = 0
 
     def __post_init__(self):
         def need(ok, why):
@@ -133,6 +132,13 @@ def _iid_trades(p: K.Profile, pnls: np.ndarray, parts: tuple, rng: np.random.Gen
     return K.Profile.of(day, before + lo[pick], before + hi[pick], before + pnls[pick], lf[pick])
 
 
+def _sized(p: K.Profile, cfg: Config, scale: float, base: float | None):
+    """The profile at a scale, its volatility target, and the contracts that stand for full size there."""
+    q = p.scaled(scale) if scale != 1 else p
+    vol = K.VolTarget(cfg.vol_target or K.auto_target(q.day_pnl, cfg.vol_lambda), cfg.vol_lambda, *cfg.vol_clip) if cfg.sizing == "vol_target" else None
+    return q, vol, base * scale if base else None
+
+
 def run_block(p: K.Profile, firm: Firm, cfg: Config, n: int, seed: tuple, per_week: float, base: float | None) -> dict[str, np.ndarray]:
     """n paths through all phases and the funded account; one array a column."""
     block = None
@@ -142,10 +148,7 @@ def run_block(p: K.Profile, firm: Firm, cfg: Config, n: int, seed: tuple, per_we
     base = cfg.base_contracts or base
     clip = cfg.cushion_clip if cfg.sizing == "cushion" else None
 
-    def sized(scale: float):
-        q = p.scaled(scale) if scale != 1 else p
-        vol = K.VolTarget(cfg.vol_target or K.auto_target(q.day_pnl, cfg.vol_lambda), cfg.vol_lambda, *cfg.vol_clip) if cfg.sizing == "vol_target" else None
-        return q, vol, base * scale if base else None
+    sized = lambda scale: _sized(p, cfg, scale, base)
 
     passed, used, going = np.ones(n, bool), np.zeros(n, int), np.ones(n, bool)
     lockouts, dd = np.zeros(n, int), np.zeros(n)
@@ -166,7 +169,7 @@ def run_block(p: K.Profile, firm: Firm, cfg: Config, n: int, seed: tuple, per_we
     q, vol, size = sized(f_scale)
     idx = K.draw_days(_generator(*seed[:2], 100, seed[2]), p.days, n, cfg.funded_days, block)
     terms = K.payout_terms(firm, firm.funded.initial(firm.account_size), per_week, cfg.keep_buffer if cfg.payout_policy == "keep_buffer" else 0.0, cfg.payout_path)
-    f = K.simulate(q, idx, firm.funded, firm, per_week, payout=terms, vol=vol, cushion=clip, base=size, extract=cfg.extract_weight, keep_samples=cfg.samples)
+    f = K.simulate(q, idx, firm.funded, firm, per_week, payout=terms, vol=vol, cushion=clip, base=size, extract=cfg.extract_weight)
     return {
         "passed": passed, "days_used": used, "outcome": first.outcome, "end_day": first.end_day, "funded_outcome": f.outcome, "funded_end": f.end_day,
         "withdrawn": f.withdrawn, "payouts": f.payouts, "first_payout": f.first_payout, "max_drawdown": dd, "funded_drawdown": f.max_drawdown,
@@ -344,6 +347,35 @@ def run(trades: DataFrame, firm: Firm, cfg: Config = Config()) -> DataFrame:
     return economics(paths(trades, firm, [cfg], logs=prof), firm)
 
 
+def samples(trades: DataFrame, firm: Firm, cfg: Config = Config(), keep: int = 200) -> DataFrame:
+    """(log_id, path_id, t, equity) of the first `keep` funded paths at each day's end, after payouts; none once a path is over."""
+    prof = profiles(trades, firm)
+    keep = min(keep, cfg.n_paths, BLOCK)
+
+    def run(frames):
+        for f in frames:
+            for r in f.itertuples():
+                s = Source.of(r)
+                block = (cfg.block_len or K.auto_block(s.profile.day_pnl)) if cfg.bootstrap == "stationary" and s.profile.days >= MIN_DAYS else None
+                n = min(BLOCK, cfg.n_paths)  # the same block of draws as the simulation's first
+                idx = K.draw_days(_generator(cfg.seed, r.log_id, 100, 0), s.profile.days, n, cfg.funded_days, block)[:keep]
+                q, vol, size = _sized(s.profile, cfg, cfg.funded_scale or cfg.scale, cfg.base_contracts or s.base)
+                terms = K.payout_terms(firm, firm.funded.initial(firm.account_size), s.per_week, cfg.keep_buffer if cfg.payout_policy == "keep_buffer" else 0.0, cfg.payout_path)
+                clip = cfg.cushion_clip if cfg.sizing == "cushion" else None
+                x = K.simulate(q, idx, firm.funded, firm, s.per_week, payout=terms, vol=vol, cushion=clip, base=size, extract=cfg.extract_weight, keep_samples=keep).samples
+                path, t = np.nonzero(~np.isnan(x))
+                yield pd.DataFrame({"log_id": r.log_id, "path_id": path, "t": t, "equity": x[path, t]})
+
+    return prof.mapInPandas(run, "log_id bigint, path_id bigint, t int, equity double")
+
+
+def fan(kept: DataFrame) -> DataFrame:
+    """Per log and day: how many kept paths are alive and the quantiles of their equity."""
+    q = F.array(*map(F.lit, (0.05, 0.25, 0.5, 0.75, 0.95)))
+    g = kept.groupBy("log_id", "t").agg(F.count("*").alias("alive"), F.percentile("equity", q).alias("q"))
+    return g.select("log_id", "t", "alive", *[F.col("q")[i].alias(n) for i, n in enumerate(("p05", "p25", "p50", "p75", "p95"))])
+
+
 # --- grids ------------------------------------------------------------------------------------------
 
 SCALES = (0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0)

@@ -143,6 +143,22 @@ def q_symbol_months(spark, sf_dir):
     return _r(M.symbol_months(trades_li(spark, sf_dir)), 4)
 
 
+@query(LI + ", n as (select log_id, symbol, count(*) as n, min(trade_seq) as f from trades_li group by all) select log_id, arg_max(symbol, (n, -f)) as symbol, max(n) as n_trades from n group by log_id")
+def q_dominant_symbol(spark, sf_dir):
+    return M.dominant_symbol(trades_li(spark, sf_dir))
+
+
+@query(
+    LI + """, e as (select log_id, trade_seq, entry_time as ts, 0 as kind, case when symbol in ('MNQ', 'MES') then quantity / 10 else quantity end as q from trades_li union all
+  select log_id, trade_seq, exit_time, 1, -(case when symbol in ('MNQ', 'MES') then quantity / 10 else quantity end) from trades_li)
+select log_id, round(max(o), 6) as peak_exposure, 5.0::double as contract_limit, round(max(o), 6) > 5 as exceeds from (select log_id, sum(q) over (partition by log_id order by ts, kind, trade_seq rows unbounded preceding) as o from e) group by log_id"""
+)
+def q_exposure_advice(spark, sf_dir):
+    from ..functions.contracts import mini_units
+
+    return _r(M.exposure_advice(trades_li(spark, sf_dir), 5.0, mini_units(10.0)))
+
+
 # --- ordered statistics --------------------------------------------------------------------------------------
 
 
@@ -509,6 +525,11 @@ def q_sampling_uncertainty(spark, sf_dir):
     return MC.uncertainty(trades_li(spark, sf_dir).where("log_id = 0"), C.PRESETS["topstep_50k"])
 
 
+@query()
+def q_equity_fan(spark, sf_dir):
+    return MC.fan(MC.samples(trades_li(spark, sf_dir), C.PRESETS["topstep_50k"], MC.Config(n_paths=1000)))
+
+
 @query()
 def q_multi_account(spark, sf_dir):
     t, firm = trades_li(spark, sf_dir), C.PRESETS["topstep_50k"]

@@ -73,3 +73,12 @@ def test_clock_rules_are_refused(spark):
 def test_bad_configs(bad):
     with pytest.raises(ConfigError):
         MC.Config(**bad)
+
+
+def test_kept_paths_are_those_of_the_simulation(trades):
+    kept = MC.samples(trades, FIRM, SMALL, 50)
+    last = {(r.log_id, r.path_id): r.equity for r in kept.groupBy("log_id", "path_id").agg({"t": "max"}).join(kept, ["log_id", "path_id"]).where("t = `max(t)`").collect()}
+    final = {(r.log_id, r.path_id): r.final_balance for r in MC.paths(trades, FIRM, [SMALL]).where("path_id < 50").collect()}
+    assert len(last) == 100 and all(last[k] == pytest.approx(final[k]) for k in last)
+    f = MC.fan(kept).where("t = 0").collect()
+    assert all(r.alive == 50 and r.p05 <= r.p50 <= r.p95 for r in f)
