@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import SPACED, byte_slices, prefix_hash, shared_dir, span_hash, text_of, trim, word_spans
 
 BLOCK_IDS = 1 << 18
-SHARD_BYTES = 32_000_000
+#: Bytes of text in a shard, and the number of shards beyond which shards grow instead.
+SHARD_BYTES, MOST_SHARDS = 32_000_000, 100_000
 RANK = 512
 
 
@@ -285,17 +286,11 @@ def word_cache(path: str) -> WordCache:
 def write_blocks(docs: DataFrame, path: str, tokenizer: str, end: int = 1, block_ids: int = BLOCK_IDS, shard_bytes: int = SHARD_BYTES) -> None:
     """Writes docs (doc_id, text) to path: a row a block, with its shard, its place in it and the payload."""
     d = docs.select("doc_id", text_of(docs).alias("text"))
-    got = d.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    shards = max(1, -(-int(got[0] or 0) // shard_bytes))
-    cuts = d.select("doc_id").where("doc_id is not null").approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.2 / shards) if shards > 1 else []
-    cuts = sorted({int(x) for x in cuts})
-    # about log2(shards) comparisons a row: a search in a sorted literal array
-    shard = F.lit(0)
-    if cuts:
-        a = F.array(*[F.lit(x).cast("bigint") for x in cuts])
-        shard = F.when(F.col("doc_id").isNull(), 0).otherwise(F.expr(_search("doc_id", cuts, 0, len(cuts)))) if len(cuts) <= 4096 else F.size(F.filter(a, lambda x: x <= F.col("doc_id")))
-    d = d.withColumn("shard", shard.cast("int"))
-    d = d.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = min(MOST_SHARDS, max(1, -(-int(size) // shard_bytes)))
+    order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    # a shard is a range of the order; Spark finds the bounds from a sample of the keys
+    d = d.repartitionByRange(shards, *order).sortWithinPartitions(*order, "text").withColumn("shard", F.spark_partition_id())
     schema = "shard int, block int, start bigint, n_docs int, n_ids bigint, payload binary"
 
     def write(batches):
@@ -335,14 +330,6 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str, end: int = 1, block
     d.mapInArrow(write, schema).write.option("compression", "zstd").parquet(path)
 
 
-def _search(col: str, cuts: list[int], lo: int, hi: int) -> str:
-    """SQL for the number of cuts that are not above col."""
-    if lo == hi:
-        return str(lo)
-    mid = (lo + hi) // 2
-    return f"if({col} >= {cuts[mid]}L, {_search(col, cuts, mid + 1, hi)}, {_search(col, cuts, lo, mid)})"
-
-
 def read_blocks(spark, path: str) -> DataFrame:
     """One row a document, from the written blocks: doc_id, start, n_tokens, ids_crc32, shard, block, place."""
     blocks = spark.read.parquet(path)
