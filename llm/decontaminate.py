@@ -2,8 +2,11 @@
 
 Fixed masks say which words of a short stretch count; a substitution on a masked-out word doesn't change the hash.
 Hashes of every stretch of the test items are held against those of every stretch of every document. Around a
-hit the two texts are laid on each other and the best stretch with +1 a equal and -4 an unequal word is kept; it
-is an overlap if it has `min_words` words (all words of a shorter item, 5 at least) and 0.8 of them are equal.
+hit the two texts are laid on each other; any stretch of `min_words` words (all words of a shorter item, 5 at
+least) or more of which 0.8 are equal is an overlap. Reported is the best stretch with +1 a equal and -4 an unequal
+word if it is one, else the longest that is. No overlap at 0.8 is without a hit: 13 words or more with a fifth
+unequal have 4 equal ones in a row, or 3 and 2 around an unequal one, as have 10 to 12; items of 8 or 9 words have 4 in a
+row, of 6 or 7 words 3. An item of 5 words must be there whole.
 Words are runs of letters and digits, ASCII case folded. Null or empty texts and items of under 5 words never
 match; null ids are kept as they are; equal rows give equal hits. The items are read in blocks of `block_bytes`
 of text (proven before a block is sent out), so a benchmark of any size runs, one pass over the documents a block.
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import LETTERS, byte_slices, mix64, prefix_hash, span_hash, text_of, word_spans
 
 #: Fixed masks: 1 counts, 0 may be substituted.
-MASKS = ("11101011", "110110011", "1100101101", "1010011101")
+MASKS = ("11101011", "110110011", "1100101101", "1010011101", "1111", "111011")
 MIN_WORDS, LEAST_ITEM, IDENTITY = 13, 5, 0.8
 HITS = "doc_id bigint, item_id bigint, n_words int, n_equal int, identity double, doc_first int, item_first int, item_words int"
 
@@ -41,6 +44,17 @@ def _seed(w: np.ndarray, mask: str) -> np.ndarray:
     return h
 
 
+def _longest(eq: np.ndarray, need: int, identity: float) -> tuple[int, int]:
+    """The first of the longest stretches of at least `need` words of which `identity` are equal; (0, 0) if there is none."""
+    run = np.concatenate([[0.0], np.cumsum(eq - identity)])
+    # from a start, the last place that is no lower: the maxima from the right fall, so a search finds it
+    high = np.maximum.accumulate(run[::-1])[::-1]
+    end = np.searchsorted(-high, -(run - 1e-9), "right") - 1
+    size = end - np.arange(len(run))
+    start = int(size.argmax())
+    return (start, int(end[start])) if size[start] >= need else (0, 0)
+
+
 class Seeds:
     """The hashes of one block of items: a bitmap to turn most words away, then a sorted table."""
 
@@ -54,7 +68,7 @@ class Seeds:
                 continue
             n = len(self.items)
             self.items.append((item_id, w))
-            for mask in [m for m in MASKS if len(m) <= len(w)] if len(w) >= 10 else ["1" * len(w), *(["1" * LEAST_ITEM] if len(w) > LEAST_ITEM else [])]:
+            for mask in [m for m in MASKS if len(m) <= len(w)] if len(w) >= 10 else ["1" * (5 if len(w) == LEAST_ITEM else 3 if len(w) < 8 else 4)]:
                 h = _seed(w, mask)
                 found.setdefault(mask, []).append((h, np.full(len(h), n), np.arange(len(h))))
         self.masks = {}
@@ -93,12 +107,17 @@ class Seeds:
             item = self.items[k][1]
             a, b = max(diag, int(first[d])), min(diag + len(item), int(first[d + 1]))
             eq = w[a:b] == item[a - diag : b - diag]
+            if np.count_nonzero(eq) < self.identity * max(LEAST_ITEM, min(self.min_words, len(item))) - 1e-9:
+                continue
             run = np.concatenate([[0], np.cumsum(np.where(eq, 1, -4))])
             low = np.minimum.accumulate(run)
             end = int(np.argmax(run - low))
             start = int(np.flatnonzero(run[: end + 1] == low[end])[0])
+            need = max(LEAST_ITEM, min(self.min_words, len(item)))
+            if end - start < need or eq[start:end].sum() < self.identity * (end - start):
+                start, end = _longest(eq, need, self.identity)
             n, same = end - start, int(eq[start:end].sum())
-            if n >= max(LEAST_ITEM, min(self.min_words, len(item))) and same >= self.identity * n:
+            if n:
                 got = (n, same, a + start - int(first[d]), a + start - diag)
                 if (d, k) not in best or got[:2] > best[d, k][:2]:
                     best[d, k] = got

@@ -53,3 +53,22 @@ def test_empty_tables(spark):
     x = spark.createDataFrame([(1, "some text")], "doc_id bigint, text string")
     assert overlaps(x, b).count() == 0 and decontaminate(x, b).count() == 1
     assert overlaps(x.limit(0), b).count() == 0
+
+
+def test_changed_words_at_any_place(spark, rng):
+    """Items of 13 to 20 words, and shorter ones, with up to a fifth of their words changed."""
+    items, docs = [], []
+    for n in [*range(6, 21), 25]:
+        for changed in range(1, int(n * 0.2 + 1e-9) + 1):
+            for places in [[k] for k in range(n)] if changed == 1 else [rng.sample(range(n), changed) for _ in range(12)] + [[n * (i + 1) // (changed + 1) for i in range(changed)]]:
+                v = words(rng, n)
+                items.append((len(items), " ".join(v)))
+                docs.append((len(docs), " ".join(words(rng, 20) + ["changed" if k in places else x for k, x in enumerate(v)] + words(rng, 20))))
+    v = words(rng, 15)
+    items.append((len(items), " ".join(v)))
+    docs.append((len(docs), " ".join("changed" if k in (3, 7, 11) else x for k, x in enumerate(v))))
+    b = spark.createDataFrame(items, "item_id bigint, text string")
+    x = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = overlaps(x, b).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i, _ in items}
+    assert all(r.n_equal >= 0.8 * r.n_words - 1e-9 and r.n_words >= min(13, r.item_words) for r in got)
