@@ -172,6 +172,15 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
     """One row a document: doc_id, size, source_size, target, taken, copies."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    c = Mix(docs).copies()
-    size = _size()
-    return c.select("doc_id", size.alias("size"), "source_size", "target", (size * F.col("_mix_copies")).alias("taken"), F.col("_mix_copies").alias("copies"))
+    m = Mix(docs)
+    d = m.docs.select("doc_id", "source", F.xxhash64("text").alias("_mix_th"), "_mix_h", _size().alias("size"))
+    # what the shards drew: rows of the mix counted by document; equal rows are drawn alike and share the count
+    same = ["doc_id", "source", "_mix_th", "_mix_h"]
+    drawn = m.rows().withColumn("_mix_th", F.xxhash64("text")).groupBy(*same).agg(F.count("*").alias("_mix_drawn"))
+    drawn = drawn.select(*[F.col(c).alias(f"_d{c}") for c in same], "_mix_drawn")
+    each = d.groupBy(*same, "size").agg(F.count("*").alias("_mix_rows"))
+    both = each.join(drawn, [each[c].eqNullSafe(drawn[f"_d{c}"]) for c in same], "left")
+    n = F.expr("coalesce(_mix_drawn, 0) div _mix_rows").cast("int")
+    c = both.withColumn("copies", n).withColumn("_mix_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_mix_rows"))))
+    c = c.join(m.table(), F.col("source").eqNullSafe(F.col("_mix_source")))
+    return c.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")

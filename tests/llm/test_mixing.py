@@ -2,7 +2,7 @@ import numpy as np
 from llm_data import SCHEMA, prose
 from pyspark.sql import functions as F
 
-from llm.mixing import Mix, mix, split_tree, targets
+from llm.mixing import Mix, mix, op5_mixing, split_tree, targets
 
 
 def test_targets():
@@ -59,3 +59,20 @@ def test_edges(spark):
     assert Mix(e).copies().count() == 0 and mix(e).count() == 0
     one = spark.createDataFrame([(1, "a b", None, "s", 0)], SCHEMA)
     assert [r.doc_id for r in mix(one).collect()] == [1]
+
+
+def test_query_counts_what_the_shards_drew(spark, rng, tmp_path, monkeypatch):
+    _docs(spark, rng).write.parquet(str(tmp_path / "documents.parquet"))
+    plan = {}
+    for r in Mix(spark.read.parquet(str(tmp_path / "documents.parquet")).select("doc_id", "text", "source")).copies().collect():
+        plan.setdefault(r.doc_id, []).append(r._mix_copies)
+    got = {}
+    for r in op5_mixing(spark, str(tmp_path)).collect():
+        got.setdefault(r.doc_id, []).append(r.copies)
+        assert r.taken == r.copies * r.size
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in plan.items()}
+    rows = Mix.rows
+    monkeypatch.setattr(Mix, "rows", lambda self: rows(self).where("doc_id <> 7"))
+    lost = op5_mixing(spark, str(tmp_path)).collect()
+    assert len(lost) == sum(map(len, plan.values()))
+    assert [r.taken for r in lost if r.doc_id == 7] == [0]
