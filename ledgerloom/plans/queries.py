@@ -522,7 +522,7 @@ def q_payout_policies(spark, sf_dir):
 
 @query()
 def q_sampling_uncertainty(spark, sf_dir):
-    return MC.uncertainty(trades_li(spark, sf_dir).where("log_id = 0"), C.PRESETS["topstep_50k"])
+    return MC.uncertainty(trades_li(spark, sf_dir), C.PRESETS["topstep_50k"])
 
 
 @query()

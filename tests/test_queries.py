@@ -50,3 +50,14 @@ def test_others_give_rows(spark, name):
     if not os.path.isdir(SF):
         pytest.skip("no test tables here")
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_sampling_uncertainty_has_every_log(spark, monkeypatch):
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables here")
+    from ledgerloom.plans import queries as Q
+
+    few, run = Q.MC.Config(n_paths=20), Q.MC.uncertainty
+    monkeypatch.setattr(Q.MC, "uncertainty", lambda trades, firm: run(trades, firm, few, 2))
+    want = {r.log_id for r in Q.trades_li(spark, SF).select("log_id").distinct().collect()}
+    assert len(want) > 1 and {r.log_id for r in QUERIES["sampling_uncertainty"](spark, SF).collect()} == want
