@@ -3,8 +3,8 @@
 A gear rolling hash over 16 bytes cuts each text (UTF-8) where its top bits are zero and a character starts, with
 a least and a greatest chunk size; chunks of equal 128-bit digests are one, however far an insertion moved them.
 The first of them by (doc_id, text hash, place) stays; the others are repeats, and runs of touching repeats of RUN
-bytes or more go, so that a few common words in a row are not taken for a passage. Chunks below `least` bytes (a
-text's last one) are never taken for repeats. Null text: empty, no chunks. A null doc_id comes first. Equal rows
+bytes or more go, so that a few common words in a row are not taken for a passage. A run that covers a whole text
+goes whatever its length, and a text's last chunk counts even below `least` bytes, so exact copies go completely. Null text: empty, no chunks. A null doc_id comes first. Equal rows
 are one document and are decided alike. Empty tables give no rows.
 """
 
@@ -61,11 +61,11 @@ def cut(data: np.ndarray, offs: np.ndarray, least: int = LEAST, bits: int = BITS
     return np.array(ends, np.int64), np.array(count)
 
 
-_SCHEMA = "doc_id bigint, _th bigint, place int, bytes int, d1 bigint, d2 bigint"
+_SCHEMA = "doc_id bigint, _th bigint, place int, bytes int, total int, d1 bigint, d2 bigint"
 
 
 def chunk_rows(docs: DataFrame, least: int = LEAST, bits: int = BITS, most: int = MOST) -> DataFrame:
-    """A row a chunk of at least `least` bytes: document, place and size in bytes, digest."""
+    """A row a chunk: document, place and size in bytes, size of the whole text, digest."""
 
     def scan(batches):
         import xxhash
@@ -85,22 +85,20 @@ def chunk_rows(docs: DataFrame, least: int = LEAST, bits: int = BITS, most: int
                 raw = data.tobytes()
                 dig = np.array([xxhash.xxh3_128_intdigest(raw[s:e]).to_bytes(16, "little") for s, e in zip(starts.tolist(), ends.tolist())], "S16")
                 dig = np.frombuffer(dig.tobytes(), np.uint64).reshape(-1, 2)
-                ok = ends - starts >= least
-                doc, starts, ends, dig = doc[ok], starts[ok], ends[ok], dig[ok]
-                cols = [pa.array(ids[i + doc], pa.int64(), mask=null[i + doc]), pa.array(th[i + doc]), pa.array((starts - offs[doc]).astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(signed(np.ascontiguousarray(dig[:, 0]))), pa.array(signed(np.ascontiguousarray(dig[:, 1])))]
+                cols = [pa.array(ids[i + doc], pa.int64(), mask=null[i + doc]), pa.array(th[i + doc]), pa.array((starts - offs[doc]).astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(np.diff(offs)[doc].astype(np.int32)), pa.array(signed(np.ascontiguousarray(dig[:, 0]))), pa.array(signed(np.ascontiguousarray(dig[:, 1])))]
                 yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _SCHEMA.split(", ")])
 
     return docs.select("doc_id", "_th", text_of(docs).alias("text")).mapInArrow(scan, _SCHEMA)
 
 
 def repeats(docs: DataFrame, **sizes) -> DataFrame:
-    """A row a repeated chunk that goes: doc_id, _th, place, bytes; docs come from keyed()."""
+    """A row a repeated chunk that goes: doc_id, _th, place, bytes, total; docs come from keyed()."""
     rows = chunk_rows(docs, **sizes)
     # combined before the shuffle: a digest that a third of all chunks share is one row a task
     place = F.struct(F.col("doc_id"), F.col("_th"), F.col("place"))
     first = rows.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first.doc_id is distinct from last.doc_id or first._th <> last._th or first.place <> last.place")
     both = rows.join(stored(first.select("d1", "d2", "first"), "digests"), ["d1", "d2"])
-    return both.where("doc_id is distinct from first.doc_id or _th <> first._th or place <> first.place").select("doc_id", "_th", "place", "bytes").distinct()
+    return both.where("doc_id is distinct from first.doc_id or _th <> first._th or place <> first.place").select("doc_id", "_th", "place", "bytes", "total").distinct()
 
 
 def _runs(spans):
@@ -120,8 +118,8 @@ def _runs(spans):
 def removals(docs: DataFrame, run: int = RUN, **sizes) -> DataFrame:
     """A row a document that loses bytes (doc_id, _th): n_removed and the spans that go, as byte places."""
     go = repeats(docs, **sizes)
-    g = go.groupBy("doc_id", "_th").agg(F.sort_array(F.collect_list(F.struct("place", "bytes"))).alias("s"))
-    g = g.select("doc_id", "_th", F.filter(_runs(F.col("s")), lambda x: x["bytes"] >= run).alias("spans")).where(F.size("spans") > 0)
+    g = go.groupBy("doc_id", "_th").agg(F.first("total").alias("total"), F.sort_array(F.collect_list(F.struct("place", "bytes"))).alias("s"))
+    g = g.select("doc_id", "_th", F.filter(_runs(F.col("s")), lambda x: (x["bytes"] >= run) | (x["bytes"] == F.col("total"))).alias("spans")).where(F.size("spans") > 0)
     return g.select("doc_id", "_th", F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["bytes"]).alias("n_removed"), "spans")
 
 

@@ -60,3 +60,11 @@ def test_clean_texts_and_equal_rows(spark, make_docs, rng):
     assert removals(keyed(d)).count() == 0
     assert strip(d).columns == d.columns and strip(d).count() == 10
     assert strip(d.limit(0)).count() == 0
+
+
+def test_exact_copies_go_completely(make_docs, rng):
+    texts = ["ok", "x" * 23, "a text of thirty bytes, or so..", *[prose(rng, 40)[:n] for n in (63, 64, 70, 87, 130, 151)]]
+    got = strip(make_docs(texts * 3)).collect()
+    by = {r.doc_id: r.text for r in got}
+    assert [by[i] for i in range(len(texts))] == texts
+    assert all(by[i] == "" for i in range(len(texts), 3 * len(texts)))
