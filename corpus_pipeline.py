@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from llm import decontaminate as _decontaminate
 from llm import mixing, order_minhash, tokens, toxicity
-from llm.common import shared_dir, ship, sweep
+from llm.common import folder, scratch, ship
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +53,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    base = folder(spark, "pipeline")
     for name, stage in STAGES:
         path = f"{base}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        sweep(spark)
+        with scratch(spark):  # what the stage stored goes once its result is written
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -4,42 +4,63 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MASK = (1 << 64) - 1
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a local run (tests) gets one of its own; a cluster is refused."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")
 
 
-def stored(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage ends there, and a lost executor costs nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    _tables.append(path)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: The folder of the run that is now open, if one is: scratch() opens it.
+_run: ContextVar[str | None] = ContextVar("llm_run", default=None)
+
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """A folder for what stored() writes until the block ends, when it is deleted: results that read it must be written by then.
 
-_tables: list[str] = []
+    Outside of such a block each operator's tables stay, as its lazy result reads them; nobody else deletes them.
+    """
+    path = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    token = _run.set(path)
+    try:
+        yield path
+    finally:
+        _run.reset(token)
+        remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Deletes the tables that stored() has written so far: for when the results that read them are written themselves."""
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _tables:
-        path = jvm.org.apache.hadoop.fs.Path(_tables.pop())
-        path.getFileSystem(conf).delete(path, True)
+def folder(spark: SparkSession, what: str) -> str:
+    """A new path for a table, in the open run's folder or in the shared one."""
+    return f"{_run.get() or shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: lineage ends there, and a lost executor costs nothing."""
+    spark = df.sparkSession
+    path = folder(spark, what)
+    df.write.option("compression", compression).parquet(path)
+    # the shuffles behind df are not needed any more; Spark deletes their files once the driver's JVM has seen that
+    spark._jvm.java.lang.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def keyed(docs: DataFrame, *, th: str = "_th") -> DataFrame:
@@ -99,6 +120,41 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Words beyond this many bytes are hashed one by one.
+_LONG = 64
+
+
+def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of data[start:end] for each pair, 8 bytes a step through a full mixer; seeds give independent hashes."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    if lower:
+        data = _LOWER[data]
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+    n = end - start
+    h = mix64(n.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (2 * seed + 1) & (1 << 64) - 1))
+    who, at, left = slice(None), start, n
+    while len(at):
+        part = eight[at] & _MASKS[np.minimum(left, 8)]
+        h[who] = mix64(h[who] ^ part) + np.uint64(0xD6E8FEB86659FD93)
+        more = (left > 8) & (left <= _LONG if isinstance(who, slice) else True)
+        if not more.any():
+            break
+        who = np.flatnonzero(more) if isinstance(who, slice) else who[more]
+        at, left = at[more] + 8, left[more] - 8
+    long = np.flatnonzero(n > _LONG)
+    if len(long):
+        import xxhash
+
+        raw = memoryview(np.ascontiguousarray(data))
+        h[long] = [xxhash.xxh3_64_intdigest(raw[s:e], seed=seed) for s, e in zip(start[long].tolist(), end[long].tolist())]
+    return h
+
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -115,19 +171,15 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["p"][:n], _powers["i"][:n]
 
 
-def prefix_hash(data: np.ndarray, lower: bool = False) -> np.ndarray:
-    """H with H[i] a polynomial hash of data[:i]; substring hashes follow by span_hash."""
-    t = _TABLE
-    if lower:
-        t = t.copy()
-        t[65:91] = t[97:123]
+def prefix_hash(data: np.ndarray) -> np.ndarray:
+    """H with H[i] a polynomial of data[:i] modulo 2^64; span_hash gives windows their values."""
     h = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(t[data] * powers(len(data))[0], out=h[1:])
+    np.cumsum(_TABLE[data] * powers(len(data))[0], out=h[1:])
     return h
 
 
 def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of data[start:end] for each pair; equal bytes give equal hashes wherever they stand."""
+    """64 bits for data[start:end]: equal bytes give equal values wherever they stand. Texts can be made whose values clash, so this orders windows and names nothing."""
     if not len(start):
         return np.zeros(0, np.uint64)
     inv = powers(len(h))[1]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, byte_slices, mix64, prefix_hash, span_hash, text_of, word_spans
+from .common import LETTERS, byte_slices, mix64, text_of, word_hash, word_spans
 
 #: Fixed masks: 1 counts, 0 may be substituted.
 MASKS = ("11101011", "110110011", "1100101101", "1010011101", "1111", "111011")
@@ -29,7 +29,7 @@ HITS = "doc_id bigint, item_id bigint, n_words int, n_equal int, identity double
 
 def _words(data, offs):
     s, e, first = word_spans(data, offs, LETTERS)
-    return span_hash(prefix_hash(data, lower=True), s, e), first
+    return word_hash(data, s, e, lower=True), first
 
 
 def _seed(w: np.ndarray, mask: str) -> np.ndarray:

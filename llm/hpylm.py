@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, byte_slices, prefix_hash, signed, span_hash, stored, text_of, trim, word_spans
+from .common import SPACED, byte_slices, signed, stored, text_of, trim, word_hash, word_spans
 
 BATCH, EXACT, PASSES, SWEEPS, SAMPLES = 8_000_000, 32, 2, 2, 3
 STRENGTH, FOLDS, HELD = 1.0, 7, 2
@@ -55,7 +55,7 @@ def unpack(b: bytes) -> dict[str, np.ndarray]:
 def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token hashes with the ends, their contexts, and the number of tokens of each text."""
     s, e, first = word_spans(data, offs, SPACED)
-    h = span_hash(prefix_hash(data, lower=True), s, e)
+    h = word_hash(data, s, e, lower=True)
     last = data[e - 1] if len(e) else np.zeros(0, np.uint8)
     last = last + np.where((last >= 65) & (last <= 90), 32, 0).astype(np.uint8)
     n = np.diff(first) + 1

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, byte_slices, prefix_hash, shared_dir, span_hash, text_of, trim, word_spans
+from .common import SPACED, byte_slices, folder, text_of, trim, word_hash, word_spans
 
 BLOCK_IDS = 1 << 18
 #: Bytes of text in a shard, and the number of shards beyond which shards grow instead.
@@ -167,7 +167,8 @@ class WordCache:
 
     Every encoding is the tokenizer's own. Where the vocabulary marks the ends of words, words of letters alone (a
     trailing full stop or comma is another token) go through it many at a time and are told apart by those marks;
-    if their number is not the words', and for all other words, each goes alone.
+    if their number is not the words', and for all other words, each goes alone. A word is known by two independent
+    hashes of 64 bits; words that share the first only are encoded where they stand.
     """
 
     def __init__(self, path: str, most: int = 450_000):
@@ -189,6 +190,7 @@ class WordCache:
     def _clear(self) -> None:
         # sorted word hashes with the place and number of their ids in flat
         self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.second = np.zeros(0, np.uint64)
         self.hits = np.zeros(0, np.int32)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
@@ -206,6 +208,7 @@ class WordCache:
         at, size = self.at[keep].astype(np.int64), self.size[keep].astype(np.int64)
         upto = np.cumsum(size)
         flat = self.flat[np.repeat(at - (upto - size), size) + np.arange(int(size.sum()))]
+        self.second = self.second[keep]
         self.keys, self.size, self.at, self.hits = self.keys[keep], self.size[keep], (upto - size).astype(np.int32), np.ones(int(keep.sum()), np.int32)
         self.flat, self.used = np.concatenate([flat, np.zeros(max(1 << 16, len(flat)), np.uint32)]), len(flat)
 
@@ -235,7 +238,7 @@ class WordCache:
         known |= dict(zip(rest, self._alone(rest))) if rest else {}
         return [known[w] if w in known else known[x] + ends[w[-1]] for w, x in zip(words, stems)]
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, second: np.ndarray, words: list[str]) -> None:
         got = self._encode(words)
         k = sum(map(len, got))
         while self.used + k > len(self.flat):
@@ -246,6 +249,7 @@ class WordCache:
         self.at = np.insert(self.at, where, (self.used + np.cumsum(size) - size).astype(np.int32))
         self.size = np.insert(self.size, where, size)
         self.keys = np.insert(self.keys, where, hashes)
+        self.second = np.insert(self.second, where, second)
         self.hits = np.insert(self.hits, where, 0)
         self.used += k
 
@@ -256,19 +260,28 @@ class WordCache:
         s, e, first = _spans(data, offs) if self.stops else word_spans(data, offs, SPACED)
         if not len(s):
             return [np.array([end], np.uint32)] * (len(offs) - 1)
-        h, one, inv = np.unique(span_hash(prefix_hash(data, lower=self.lower), s, e), return_index=True, return_inverse=True)
+        h, h2 = (word_hash(data, s, e, lower=self.lower, seed=k) for k in (0, 1))
+        h, one, inv = np.unique(h, return_index=True, return_inverse=True)
         i = np.searchsorted(self.keys, h)
         known = np.zeros(len(h), bool)
         inside = i < len(self.keys)
         known[inside] = self.keys[i[inside]] == h[inside]
         if not known.all():
             raw, new = data.tobytes(), one[~known]
-            self._learn(h[~known], [raw[x:y].decode() for x, y in zip(s[new].tolist(), e[new].tolist())])
+            self._learn(h[~known], h2[new], [raw[x:y].decode() for x, y in zip(s[new].tolist(), e[new].tolist())])
             i = np.searchsorted(self.keys, h)
         self.hits[i] += 1
+        clash = np.flatnonzero(self.second[i][inv] != h2)
         at, size = self.at[i][inv].astype(np.int64), self.size[i][inv].astype(np.int64)
+        other: list[list[int]] = []
+        if len(clash):
+            raw = data.tobytes()
+            other = self._alone([raw[s[k] : e[k]].decode() for k in clash.tolist()])
+            size[clash] = [len(x) for x in other]
         upto = np.cumsum(size)
-        ids = self.flat[np.repeat(at - (upto - size), size) + np.arange(upto[-1])]
+        ids = self.flat[np.minimum(np.repeat(at - (upto - size), size) + np.arange(upto[-1]), len(self.flat) - 1)]
+        for k, x in zip(clash.tolist(), other):
+            ids[upto[k] - size[k] : upto[k]] = x
         cut = np.concatenate([[0], upto])[first]
         return [np.append(ids[i:j], np.uint32(end)) for i, j in zip(cut[:-1], cut[1:])]
 
@@ -371,9 +384,7 @@ def tokenizer_path() -> str:
 
 
 def encode_docs(docs: DataFrame, tokenizer: str | None = None, end: int = 1) -> DataFrame:
-    import uuid
-
-    path = f"{shared_dir(docs.sparkSession)}/ids-{uuid.uuid4().hex}"
+    path = folder(docs.sparkSession, "ids")
     write_blocks(docs, path, tokenizer or tokenizer_path(), end)
     return read_blocks(docs.sparkSession, path)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, byte_slices, prefix_hash, span_hash, text_of, word_spans
+from .common import SPACED, byte_slices, text_of, word_hash, word_spans
 
 ORDER, DISCOUNT, PEAK, MOST_DOCS = 6, 0.75, 3.0, 1500
 FOLDS = 5
@@ -130,7 +130,7 @@ class Model:
         out = np.zeros((len(offs) - 1, 3))
         if not len(s):
             return out
-        h = span_hash(prefix_hash(data, lower=True), s, e)
+        h = word_hash(data, s, e, lower=True)
         _, one, inv = np.unique(h, return_index=True, return_inverse=True)
         r = self.words(data, s[one], e[one])[inv]
         has = np.flatnonzero(np.diff(first))

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 pytest.importorskip("public_tokenizers")
 
-from llm.tokens import Block, encode_block, encode_docs, read_blocks, token, tokenizer_path, write_blocks  # noqa: E402
+from llm.tokens import Block, WordCache, encode_block, encode_docs, read_blocks, token, tokenizer_path, write_blocks  # noqa: E402
 
 
 @settings(max_examples=100, deadline=None)
@@ -57,3 +57,33 @@ def test_repeated_ids_and_empty_tables(spark):
     d = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a")], "doc_id bigint, text string")
     assert sorted(r.start for r in encode_docs(d).collect()) == [0, 2, 4]
     assert encode_docs(d.limit(0)).count() == 0
+
+
+def thue_morse(n, a, b):
+    return "".join((a, b)[i.bit_count() & 1] for i in range(n))
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    texts = [thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a"), thue_morse(64, "a", "b"), thue_morse(64, "b", "a"), "z" * 200_000]
+    got = {r.doc_id: r.ids_crc32 for r in encode_docs(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    for i, x in enumerate(texts):
+        assert got[i] == zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 1], "<u4").tobytes())
+
+
+def test_words_with_one_hash_in_common(monkeypatch):
+    from tokenizers import Tokenizer
+
+    import llm.tokens as T
+
+    def weak(data, s, e, lower=False, seed=0):
+        return T_hash(data, s, e, lower, seed) if seed else (e - s).astype(np.uint64)
+
+    T_hash = T.word_hash
+    monkeypatch.setattr(T, "word_hash", weak)
+    t, cache = Tokenizer.from_file(tokenizer_path()), WordCache(tokenizer_path())
+    for text in ("alpha omega gamma a b c omega", "gamma kappa zz", ""):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        assert cache.encode(raw, np.array([0, len(raw)]), 1)[0].tolist() == [*t.encode(text, add_special_tokens=False).ids, 1]
