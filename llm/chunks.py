@@ -2,10 +2,11 @@
 
 A gear rolling hash over 16 bytes cuts each text (UTF-8) where its top bits are zero and a character starts, with
 a least and a greatest chunk size; chunks of equal 128-bit digests are one, however far an insertion moved them.
-The first of them by (doc_id, text hash, place) stays; the others are repeats, and runs of touching repeats of RUN
-bytes or more go, so that a few common words in a row are not taken for a passage. A run that covers a whole text
-goes whatever its length, and a text's last chunk counts even below `least` bytes, so exact copies go completely. Null text: empty, no chunks. A null doc_id comes first. Equal rows
-are one document and are decided alike. Empty tables give no rows.
+The first of them by (doc_id, text hash, place) stays and all others go, a text's last chunk, which may be below
+`least` bytes, included, so exact copies go completely. With the option `run`, only touching repeats of so many bytes
+together go, or such as cover a whole text; it is off. Null text: empty, no chunks. A null doc_id comes first. Equal rows
+are one document and are decided alike. Empty tables give no rows. Other columns pass through; names beginning with
+_r and the name _th are reserved.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_slices, keyed, signed, stored, text_of
 
-LEAST, BITS, MOST, RUN = 24, 5, 1024, 64
+LEAST, BITS, MOST, RUN = 48, 5, 1024, 1
 _GEAR = np.random.default_rng(915).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -126,13 +127,13 @@ def removals(docs: DataFrame, run: int = RUN, **sizes) -> DataFrame:
 def strip(docs: DataFrame, **sizes) -> DataFrame:
     """docs with the repeated chunks taken out of text; every row stays, other columns are untouched."""
     k = keyed(docs)
-    r = removals(k, **sizes).select(F.col("doc_id").alias("_rid"), F.col("_th").alias("_rth"), "spans")
+    r = removals(k, **sizes).select(F.col("doc_id").alias("_rid"), F.col("_th").alias("_rth"), F.col("spans").alias("_rspans"))
     j = k.join(r, F.col("doc_id").eqNullSafe(F.col("_rid")) & (F.col("_th") == F.col("_rth")), "left")
     raw = F.encode(text_of(docs), "utf-8")
-    ends = F.concat(F.transform("spans", lambda x: x["place"]), F.array(F.octet_length(raw)))
-    begins = F.concat(F.array(F.lit(0)), F.transform("spans", lambda x: x["place"] + x["bytes"]))
+    ends = F.concat(F.transform("_rspans", lambda x: x["place"]), F.array(F.octet_length(raw)))
+    begins = F.concat(F.array(F.lit(0)), F.transform("_rspans", lambda x: x["place"] + x["bytes"]))
     kept = F.transform(F.arrays_zip(begins.alias("b"), ends.alias("e")), lambda x: F.decode(F.substring(raw, x["b"] + 1, x["e"] - x["b"]), "utf-8"))
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
+    text = F.when(F.col("_rspans").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
     return j.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -126,10 +126,10 @@ class Mix:
 
     def table(self) -> DataFrame:
         rows = [(s["source"], s["source_size"], s["target"], s["passes"], s["end"]) for s in self.sources]
-        return self._table("_mix_source string, source_size bigint, target double, _mix_passes int, _mix_end bigint", rows)
+        return self._table("_mix_source string, _mix_source_size bigint, _mix_target double, _mix_passes int, _mix_end bigint", rows)
 
     def copies(self) -> DataFrame:
-        """docs with source_size, target and _mix_copies, the number of times the mix takes the row."""
+        """docs with _mix_source_size, _mix_target and _mix_copies, the number of times the mix takes the row."""
         d = self.docs.join(self.table(), F.col("source").eqNullSafe(F.col("_mix_source")))
         return d.withColumn("_mix_copies", F.col("_mix_passes") + (F.col("_mix_h") <= F.col("_mix_end")).cast("int"))
 
@@ -144,12 +144,12 @@ class Mix:
             raise ValueError("too many shard quotas; use fewer shards")
         upto = np.cumsum(split_tree(q, self.shards, self.seed), axis=0) if len(q) else np.zeros((self.shards, 0), np.int64)
         rows = [(s["source"], int(q[i]), [int(x) for x in upto[:, i]]) for i, s in enumerate(self.sources)]
-        t = self.spark.createDataFrame(rows, "_s_source string, _s_quota bigint, _s_upto array<bigint>")
-        t = t.where("_s_quota > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("_s_quota") - 1)).alias("_s_n"))
-        perm = F.row_number().over(Window.partitionBy("_s_source", F.floor(F.col("_s_n") / BLOCKS)).orderBy(F.xxhash64(F.lit(self.seed), "_s_source", "_s_n"))) - 1
-        t = t.withColumn("_s_pass", F.floor(F.col("_s_n") / BLOCKS).cast("int")).withColumn("_s_rank", F.col("_s_pass") * BLOCKS + perm)
-        shard = F.size(F.filter("_s_upto", lambda x: x <= F.col("_s_rank")))
-        return t.select("_s_source", "_s_pass", F.pmod("_s_n", F.lit(BLOCKS)).cast("int").alias("_s_block"), shard.alias("_mix_shard"))
+        t = self.spark.createDataFrame(rows, "_mix_s_source string, _mix_s_quota bigint, _mix_s_upto array<bigint>")
+        t = t.where("_mix_s_quota > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("_mix_s_quota") - 1)).alias("_mix_s_n"))
+        perm = F.row_number().over(Window.partitionBy("_mix_s_source", F.floor(F.col("_mix_s_n") / BLOCKS)).orderBy(F.xxhash64(F.lit(self.seed), "_mix_s_source", "_mix_s_n"))) - 1
+        t = t.withColumn("_mix_s_pass", F.floor(F.col("_mix_s_n") / BLOCKS).cast("int")).withColumn("_mix_s_rank", F.col("_mix_s_pass") * BLOCKS + perm)
+        shard = F.size(F.filter("_mix_s_upto", lambda x: x <= F.col("_mix_s_rank")))
+        return t.select("_mix_s_source", "_mix_s_pass", F.pmod("_mix_s_n", F.lit(BLOCKS)).cast("int").alias("_mix_s_block"), shard.alias("_mix_shard"))
 
     def rows(self) -> DataFrame:
         """The mix itself: every taken copy with _mix_shard, shuffled inside its shard; columns as in docs."""
@@ -157,7 +157,7 @@ class Mix:
         s = self.shard_of()
         if len(self.sources) * BLOCKS * (MOST_REPEATS + 1) <= 2_000_000:
             s = F.broadcast(s)
-        d = d.join(s, F.col("source").eqNullSafe(F.col("_s_source")) & (F.col("_mix_pass") == F.col("_s_pass")) & (F.col("_mix_block") == F.col("_s_block")))
+        d = d.join(s, F.col("source").eqNullSafe(F.col("_mix_s_source")) & (F.col("_mix_pass") == F.col("_mix_s_pass")) & (F.col("_mix_block") == F.col("_mix_s_block")))
         order = F.xxhash64(F.lit(self.seed), "_mix_shard", "_mix_pass", "_mix_h")
         return d.withColumn("_mix_order", order)
 
@@ -183,4 +183,4 @@ def op5_mixing(spark, sf_dir: str) -> DataFrame:
     n = F.expr("coalesce(_mix_drawn, 0) div _mix_rows").cast("int")
     c = both.withColumn("copies", n).withColumn("_mix_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_mix_rows"))))
     c = c.join(m.table(), F.col("source").eqNullSafe(F.col("_mix_source")))
-    return c.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    return c.select("doc_id", "size", F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), (F.col("size") * F.col("copies")).alias("taken"), "copies")

@@ -18,7 +18,7 @@ def brute(texts):
     for t in texts:
         kept, run = [], []
         for p in [*pieces(t), None]:
-            if p is not None and len(p) >= LEAST and p in seen:
+            if p is not None and p in seen:
                 run.append(p)
                 continue
             if sum(map(len, run)) < RUN:
@@ -26,8 +26,7 @@ def brute(texts):
             run = []
             if p is not None:
                 kept.append(p)
-                if len(p) >= LEAST:
-                    seen.add(p)
+                seen.add(p)
         out.append(b"".join(kept).decode())
     return out
 
@@ -68,3 +67,10 @@ def test_exact_copies_go_completely(make_docs, rng):
     by = {r.doc_id: r.text for r in got}
     assert [by[i] for i in range(len(texts))] == texts
     assert all(by[i] == "" for i in range(len(texts), 3 * len(texts)))
+
+
+def test_columns_of_any_name(make_docs, rng):
+    t = prose(rng, 60)
+    d = make_docs([t, t]).withColumnRenamed("lang", "spans").withColumnRenamed("source", "place")
+    out = strip(d)
+    assert out.columns == d.columns and sorted(r.text for r in out.collect()) == ["", t]

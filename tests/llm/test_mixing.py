@@ -32,10 +32,10 @@ def test_taken_words_come_near_the_targets(spark, rng):
     assert len(got) == d.count()
     by = {}
     for r in got:
-        s = by.setdefault(r.source, [0, 0, r.target])
+        s = by.setdefault(r.source, [0, 0, r._mix_target])
         s[0] += r.size
         s[1] += r.size * r._mix_copies
-        assert r._mix_copies <= 3 and r.source_size is not None
+        assert r._mix_copies <= 3 and r._mix_source_size is not None
     for s, (size, taken, target) in by.items():
         assert abs(taken - target) <= 60, s
     want = dict(zip(sorted([s for s in by if s is not None]) + [None], targets([by[s][0] for s in sorted([s for s in by if s is not None]) + [None]], sum(v[0] for v in by.values()))))
@@ -45,7 +45,8 @@ def test_taken_words_come_near_the_targets(spark, rng):
 
 
 def test_mix_rows(spark, rng):
-    d = _docs(spark, rng).withColumnRenamed("lang", "shard")
+    d = _docs(spark, rng).withColumnRenamed("lang", "shard").withColumnRenamed("n_chars", "target")
+    d = d.withColumn("source_size", F.lit("x")).withColumn("c", F.lit(1)).withColumn("w", F.lit(1)).withColumn("r", F.lit(1)).withColumn("s", F.lit(1))
     m = Mix(d, shards=5)
     want = sum(r._mix_copies for r in m.copies().collect())
     rows = m.rows().select("_mix_shard", "doc_id").collect()
