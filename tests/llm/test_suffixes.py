@@ -5,7 +5,7 @@ import pytest
 from llm_data import prose
 
 from llm import suffixes
-from llm.suffixes import _named, _with, removals
+from llm.suffixes import _named, removals
 
 
 def brute(texts, length):
@@ -24,7 +24,7 @@ def brute(texts, length):
 
 def got(docs, **kw):
     d = _named(docs)
-    return {(r.doc_id, r.th): (r.n_removed, len(r.spans), r.kept_sha256) for r in removals(d, **kw).collect()}, {(r.doc_id, r.text): (r.doc_id, r.th) for r in d.collect()}
+    return {(r.t1, r.t2): (r.n_removed, len(r.spans), r.kept_sha256) for r in removals(d, **kw).collect()}, {r.text: (r.t1, r.t2) for r in d.collect()}
 
 
 @pytest.mark.parametrize("first", [50, 100])
@@ -40,7 +40,7 @@ def test_equals_brute_force(make_docs, rng, first):
     want = brute(texts, 200)
     r, key = got(make_docs(texts), first=first)
     for i, (t, w) in enumerate(zip(texts, want)):
-        k = key[i, t or ""]
+        k = key[t or ""]
         assert r.get(k, (0, 0, hashlib.sha256((t or "").encode()).hexdigest())) == w, i
 
 
@@ -59,3 +59,23 @@ def test_query_shape(spark, make_docs, rng, tmp_path):
     rows = {r.doc_id: r for r in suffixes.op6_suffix_dedup(spark, str(tmp_path)).collect()}
     assert rows[2].n_bytes == 0 and rows[2].kept_sha256 == hashlib.sha256(b"").hexdigest()
     assert rows[0].n_removed == rows[0].n_bytes and rows[3].n_removed == 0 and rows[1].n_spans == 1
+
+
+def test_null_and_repeated_ids_keep_texts_apart(spark, make_docs, rng, tmp_path):
+    a, b = prose(rng, 90), prose(rng, 95)
+    rows = [(None, a), (None, b), (1, a), (1, b[:150]), (1, prose(rng, 80)), (None, None)]
+    make_docs([t for _, t in rows], ids=[i for i, _ in rows]).write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted((str(i), len((t or "").encode()), *w) for (i, t), w in zip(rows, brute([t for _, t in rows], 200)))
+    assert want == sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.op6_suffix_dedup(spark, str(tmp_path)).collect())
+    assert sum(w[2] > 0 for w in want) == 2
+
+
+def test_very_long_text(spark, make_docs, rng):
+    """A text longer than a segment is read in parts; repeats within it and with others are found wherever they stand."""
+    word = [prose(rng, 4) for _ in range(3000)]
+    long = " ".join(word[rng.randrange(3000)] + str(rng.random()) for _ in range(110_000))
+    assert len(long) > suffixes._SEGMENT
+    p, q = long[1000:1300], long[suffixes._SEGMENT - 150 : suffixes._SEGMENT + 250]
+    r, key = got(make_docs([long + p, "x" + q + "y"]))
+    assert r[key[long + p]][:2] == (300 + 400 + 300, 3)
+    assert r[key["x" + q + "y"]][:2] == (400, 1)
