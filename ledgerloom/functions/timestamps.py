@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..errors import IngestError
 from .sessions import localised
 
 #: Tried in this order; the first that reads the text wins.
@@ -17,6 +18,28 @@ TIME_ONLY = r"^\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*([AaPp][Mm])?$"
 DATE_ONLY = r"^\d{4}[-/.]\d{1,2}[-/.]\d{1,2}$|^\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}$|^\d{8}$"
 
 
+# fixed values: directives of strftime and the letters of Spark's patterns
+DIRECTIVES = {"Y": "yyyy", "y": "yy", "m": "M", "d": "d", "H": "H", "I": "h", "M": "m", "S": "s", "f": "SSSSSS", "p": "a", "b": "MMM", "B": "MMMM", "a": "E", "A": "EEEE", "j": "D", "%": "'%'"}
+
+
+def pattern(text: str) -> str:
+    """A Spark pattern of a format with % directives (one and two digits are read alike); a text without % is a pattern already."""
+    if "%" not in text:
+        return text
+    out, i = "", 0
+    while i < len(text):
+        c = text[i]
+        if c == "%":
+            i += 1
+            if i == len(text) or text[i] not in DIRECTIVES:
+                raise IngestError(f"the time format {text!r} has a directive that is not known")
+            out += DIRECTIVES[text[i]]
+        else:
+            out += f"'{c}'" if c.isalpha() else c
+        i += 1
+    return out
+
+
 def wall_clock(text: Column, formats=FORMATS) -> Column:
     """A text without offset as if its zone were UTC."""
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import special
+from .kernel import ewma_sigma
 from .metrics import profit_factor, ratio
 
 LAMBDA, BURN_IN, MIN_CLASSIFIED = 0.94, 20, 30
@@ -67,17 +68,26 @@ def hac_slope(trades: DataFrame) -> DataFrame:
     s = trades.select("log_id", "trade_seq", "pnl").join(base, "log_id")
     x = F.col("trade_seq") - F.col("mx")
     s = s.select("log_id", "trade_seq", "lag", "slope", "sxx", "n", (x * (y - F.col("my") - F.col("slope") * x)).alias("u"))
-    g = s.groupBy("log_id").agg(F.first("lag").alias("lag"), F.first("slope").alias("slope"), F.first("sxx").alias("sxx"), F.first("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("trade_seq", "u"))), lambda v: v["u"]).alias("u"))
-    dot = lambda k: F.aggregate(F.zip_with(F.slice("u", k + 1, F.greatest(F.size("u") - k, F.lit(0))), F.slice("u", F.lit(1), F.greatest(F.size("u") - k, F.lit(0))), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    tail = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("lag").cast("int")), lambda k: 2.0 * (1.0 - k / (F.col("lag") + 1.0)) * dot(k)), F.lit(0.0), lambda a, b: a + b)
-    lrv = dot(F.lit(0)) + F.when(F.col("lag") >= 1, tail).otherwise(0.0)
-    g = g.withColumn("se", F.sqrt(F.greatest(lrv, F.lit(0.0))) / F.col("sxx"))
+    most = int(base.agg(F.max("lag")).first()[0] or 0)  # grows with the 2/9th power of a log's length
+    w = Window.partitionBy("log_id").orderBy("trade_seq")
+    for k in range(1, most + 1):
+        s = s.withColumn(f"u{k}", F.lag("u", k).over(w))
+    term = lambda k: F.when(F.col("lag") >= k, 2.0 * (1.0 - k / (F.col("lag") + 1.0)) * F.coalesce(F.col("u") * F.col(f"u{k}"), F.lit(0.0))).otherwise(0.0)
+    products = F.col("u") * F.col("u")
+    for k in range(1, most + 1):
+        products = products + term(k)
+    g = s.groupBy("log_id").agg(*[F.first(c).alias(c) for c in ("lag", "slope", "sxx", "n")], F.sum(products).alias("lrv"))
+    g = g.withColumn("se", F.sqrt(F.greatest("lrv", F.lit(0.0))) / F.col("sxx"))
     return g.select("log_id", "n", "slope", "se", ratio(F.col("slope"), F.col("se")).alias("t"), F.col("lag").cast("int").alias("lag"))
 
 
 def _concordance(v: np.ndarray) -> int:
     """Concordant less discordant pairs of a sequence, by merging blocks with searchsorted."""
-    total, block = 0, [np.array([x]) for x in v]
+    total, block = 0, []
+    for i in range(0, len(v), 256):
+        part = v[i : i + 256]
+        total += int(np.triu(np.sign(part[None, :] - part[:, None]), 1).sum())
+        block.append(np.sort(part))
     while len(block) > 1:
         out = []
         for a, b in zip(block[::2], block[1::2]):
@@ -112,21 +122,17 @@ def mann_kendall(trades: DataFrame) -> DataFrame:
 def ewma(daily: DataFrame, lam: float = LAMBDA, burn_in: int = BURN_IN) -> DataFrame:
     """(log_id, day_idx, day_pnl, sigma): forecast volatility from earlier days only; null inside the burn-in.
 
-    A fold over the log's days, seeded with the mean square of the first burn_in days.
+    Each day's forecast needs the day's before, so a log's days go through one fold, a task a log, seeded with the
+    mean square of the first burn_in days.
     """
-    g = daily.groupBy("log_id").agg(F.sort_array(F.collect_list(F.struct("day_idx", "day_pnl"))).alias("d"))
-    sq = lambda x: x["day_pnl"] * x["day_pnl"]
-    seed = F.aggregate(F.slice("d", 1, burn_in), F.lit(0.0), lambda a, x: a + sq(x)) / burn_in
-    zero = F.struct(seed.alias("var"), F.array().cast("array<double>").alias("out"))
-
-    def step(s, x):
-        return F.struct((lam * s["var"] + (1 - lam) * sq(x)).alias("var"), F.array_append(s["out"], F.sqrt(s["var"])).alias("out"))
-
-    fold = F.aggregate(F.slice("d", burn_in + 1, F.greatest(F.size("d") - burn_in, F.lit(0))), zero, step, lambda s: s["out"])
-    pad = F.array_repeat(F.lit(None).cast("double"), F.least(F.size("d"), F.lit(burn_in)))
-    s = F.when(F.size("d") > burn_in, F.concat(pad, fold)).otherwise(pad)
-    z = g.select("log_id", F.explode(F.arrays_zip(F.col("d").alias("d"), s.alias("s"))).alias("r"))
-    return z.select("log_id", F.col("r.d.day_idx").alias("day_idx"), F.col("r.d.day_pnl").alias("day_pnl"), F.col("r.s").alias("sigma"))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("day_idx")
+        return pdf.assign(sigma=ewma_sigma(pdf.day_pnl.to_numpy(), lam, burn_in))
+
+    rows = daily.select("log_id", F.col("day_idx").cast("bigint").alias("day_idx"), "day_pnl")
+    s = rows.groupBy("log_id").applyInPandas(fold, "log_id bigint, day_idx bigint, day_pnl double, sigma double")
+    return s.withColumn("sigma", F.when(~F.isnan("sigma"), F.col("sigma")))
 
 
 def regime_codes(sigmas: DataFrame) -> DataFrame:

@@ -155,7 +155,7 @@ def permutation_drawdown_sql(trades: DataFrame, iterations: int, seed: int = 7)
 
 # --- overfitting across variants -----------------------------------------------------------------------------
 
-MOST_SPLITS = 12_870
+MOST_SPLITS, MOST_CELLS = 12_870, 4_000_000
 
 
 def split_masks(blocks: int, seed: int = 0) -> list[int]:
@@ -173,24 +173,38 @@ def split_masks(blocks: int, seed: int = 0) -> list[int]:
 def pbo(variants: DataFrame, blocks: int = 16, seed: int = 0) -> DataFrame:
     """One row: probability of backtest overfitting over combinatorially symmetric splits of (day, variant, pnl).
 
-    Days are pooled into block sums first, so a split adds a few numbers a variant; splits meet variants in one join
-    whose size is splits times variants. In-sample ties go to the first variant, out-of-sample ranks average ties.
+    Days are pooled into block sums first, so a split adds a few numbers a variant. A day that a variant lacks counts
+    0. In-sample ties go to the first variant, out-of-sample ranks average ties. Refused are fewer than two variants
+    or two different paths, numbers that aren't finite, and more than MOST_CELLS block sums.
     """
     spark = variants.sparkSession
-    n = variants.select("day").distinct().count()
-    names = [r[0] for r in variants.select("variant").distinct().orderBy("variant").limit(100_000).collect()]
-    if len(names) < 2:
-        raise LedgerError("overfitting needs two variants")
+    day = variants.select("day").distinct().withColumn("i", F.row_number().over(Window.orderBy("day")) - 1)  # one row a day
+    n = day.agg(F.count("*")).first()[0]
     if n < 2 * blocks:
         raise LedgerError(f"{blocks} blocks need {2 * blocks} days")
     per = n // blocks
-    day = variants.select("day").distinct().withColumn("i", F.row_number().over(Window.orderBy("day")) - 1)  # one row a day
-    day = day.withColumn("block", F.floor(F.col("i") / per).cast("int")).where(F.col("block") < blocks)
-    cells = variants.join(F.broadcast(day.select("day", "block")), "day").groupBy("variant", "block").agg(F.sum("pnl").alias("s"), F.sum(F.col("pnl") * F.col("pnl")).alias("q"))
-    table = cells.agg(F.sort_array(F.collect_list(F.struct("variant", "block", "s", "q"))).alias("c"))  # variants x blocks numbers, checked above
-    table = table.select(F.transform("c", lambda x: x["s"]).alias("s"), F.transform("c", lambda x: x["q"]).alias("q"))
-    masks = spark.createDataFrame([(i, m) for i, m in enumerate(split_masks(blocks, seed))], "split int, mask bigint").repartition(8)
-    j = masks.crossJoin(F.broadcast(table))  # one row
+    day = day.select(F.col("day").alias("_day"), F.floor(F.col("i") / per).cast("int").alias("block"))
+    cells = variants.join(day, F.col("day") == F.col("_day")).where(F.col("block") < blocks).groupBy("variant", "block")
+    cells = cells.agg(F.sum("pnl").alias("s"), F.sum(F.col("pnl") * F.col("pnl")).alias("q"), F.sum(F.when(F.col("pnl") != 0, F.xxhash64("day", "pnl").cast("decimal(38,0)"))).alias("path"))
+    got = cells.limit(MOST_CELLS + 1).collect()  # one row a variant and block
+    if len(got) > MOST_CELLS:
+        raise LedgerError(f"more than {MOST_CELLS} sums of variants and blocks")
+    names = sorted({r["variant"] for r in got})
+    if len(names) < 2:
+        raise LedgerError("overfitting needs two variants")
+    place = {v: i for i, v in enumerate(names)}
+    s, q = np.zeros((len(names), blocks)), np.zeros((len(names), blocks))
+    paths: dict[int, list] = {}
+    for r in got:
+        i = place[r["variant"]]
+        s[i, r["block"]], q[i, r["block"]] = r["s"], r["q"]
+        paths.setdefault(i, []).append((r["block"], r["path"]))
+    if not (np.isfinite(s).all() and np.isfinite(q).all()):
+        raise LedgerError("a variant has numbers that are not finite")
+    if len({tuple(sorted((b, str(x)) for b, x in p if x is not None)) for p in paths.values()}) < 2:
+        raise LedgerError("all variants have one path; overfitting needs two that differ")
+    table = spark.sparkContext.broadcast((s, q))
+    masks = spark.createDataFrame(list(enumerate(split_masks(blocks, seed))), "split int, mask bigint").repartition(8)
     half = float(per * blocks // 2)
 
     def sharpes(inside: np.ndarray, s: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -205,7 +219,7 @@ def pbo(variants: DataFrame, blocks: int = 16, seed: int = 0) -> DataFrame:
         for f in frames:
             if not len(f):
                 continue
-            s, q = (np.asarray(f[k].iloc[0], float).reshape(-1, blocks) for k in ("s", "q"))
+            s, q = table.value
             for i in range(0, len(f), 256):
                 part = f.iloc[i : i + 256]
                 bits = (part["mask"].to_numpy()[:, None] >> np.arange(blocks) & 1).astype(float)
@@ -215,7 +229,7 @@ def pbo(variants: DataFrame, blocks: int = 16, seed: int = 0) -> DataFrame:
                 rank = (o < mine).sum(1) + ((o == mine).sum(1) + 1) / 2
                 yield pd.DataFrame({"split": part["split"].to_numpy(), "omega": rank / (len(s) + 1.0), "is_sr": a[np.arange(len(a)), top], "oos_sr": mine[:, 0]})
 
-    best = j.mapInPandas(run, "split int, omega double, is_sr double, oos_sr double")
+    best = masks.mapInPandas(run, "split int, omega double, is_sr double, oos_sr double")
     g = best.agg(
         F.count("*").alias("n_splits"),
         (F.avg((F.col("omega") < 0.5).cast("double")) + 0.5 * F.avg((F.col("omega") == 0.5).cast("double"))).alias("pbo"),
@@ -291,29 +305,42 @@ def scorecard(m: DataFrame, boot: DataFrame, trimmed: DataFrame, deflated: DataF
 
 
 def vol_weights(sigmas: DataFrame, lo: float = 0.5, hi: float = 1.5, band: float = 0.15, target: float | None = None) -> DataFrame:
-    """(log_id, day_idx, day_pnl, weight): target over forecast, clipped, kept until it moves by more than the band; 1 in the burn-in."""
-    med = sigmas.groupBy("log_id").agg(F.percentile("sigma", F.lit(0.5)).alias("m"))
-    g = sigmas.join(med, "log_id").groupBy("log_id").agg(F.sort_array(F.collect_list(F.struct("day_idx", "day_pnl", "sigma"))).alias("d"), (F.lit(target) if target else F.first("m")).alias("goal"))
-    zero = F.struct(F.lit(1.0).alias("w"), F.array().cast("array<double>").alias("out"))
+    """(log_id, day_idx, day_pnl, weight): target over forecast, clipped, kept until it moves by more than the band; 1 in the burn-in.
+
+    What is kept depends on what was kept before, so a log's days go through one fold, a task a log.
+    """
+    med = sigmas.groupBy("log_id").agg(F.percentile("sigma", F.lit(0.5)).alias("goal"))
+    goal = F.lit(float(target)) if target else F.col("goal")
+    want = F.when(F.col("sigma") > 0, F.least(F.lit(hi), F.greatest(F.lit(lo), goal / F.when(F.col("sigma") > 0, F.col("sigma"))))).otherwise(1.0)
+    rows = sigmas.join(med, "log_id").select("log_id", "day_idx", "day_pnl", want.alias("weight"))
 
-    def step(s, x):
-        want = F.when(x["sigma"].isNull() | (x["sigma"] <= 0), 1.0).otherwise(F.least(F.lit(hi), F.greatest(F.lit(lo), F.col("goal") / F.when(x["sigma"] > 0, x["sigma"]))))
-        now = F.when(F.abs(want - s["w"]) > band, want).otherwise(s["w"])
-        return F.struct(now.alias("w"), F.array_append(s["out"], now).alias("out"))
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("day_idx")
+        now, out = 1.0, []
+        for w in pdf.weight.tolist():
+            if abs(w - now) > band:
+                now = w
+            out.append(now)
+        return pdf.assign(weight=out)
 
-    w = g.withColumn("w", F.aggregate("d", zero, step, lambda s: s["out"]))
-    z = w.select("log_id", F.explode(F.arrays_zip(F.col("d").alias("d"), F.col("w").alias("w"))).alias("r"))
-    return z.select("log_id", F.col("r.d.day_idx").alias("day_idx"), F.col("r.d.day_pnl").alias("day_pnl"), F.col("r.w").alias("weight"))
+    return rows.groupBy("log_id").applyInPandas(fold, "log_id bigint, day_idx bigint, day_pnl double, weight double")
 
 
-def vol_counterfactual(weights: DataFrame, min_days: int = 60) -> DataFrame:
-    """Per log with enough days: net, daily deviation and drawdown of day closes, as it was and resized."""
+def vol_counterfactual(weights: DataFrame, min_days: int = 60, dates: DataFrame | None = None) -> DataFrame:
+    """Per log with enough days: net, daily deviation and drawdown of day closes, as it was and resized.
+
+    With dates (log_id, day_idx, session_date) the worst calendar month of both, too.
+    """
     w = Window.partitionBy("log_id").orderBy("day_idx").rowsBetween(Window.unboundedPreceding, 0)
     out = None
     for name, p in (("fixed", F.col("day_pnl")), ("target", F.col("day_pnl") * F.col("weight"))):
         d = weights.withColumn("p", p).withColumn("e", F.sum("p").over(w)).withColumn("dd", F.greatest(F.lit(0.0), F.max("e").over(w)) - F.col("e"))
         g = d.groupBy("log_id").agg(F.count("*").alias("n_days"), F.sum("p").alias(f"{name}_net"), F.stddev_samp("p").alias(f"{name}_sd"), F.max("dd").alias(f"{name}_drawdown")).where(F.col("n_days") >= min_days)
         out = g if out is None else out.join(g.drop("n_days"), "log_id")
+    if dates is not None:
+        m = weights.join(dates, ["log_id", "day_idx"]).groupBy("log_id", F.date_format("session_date", "yyyy-MM").alias("month"))
+        m = m.agg(F.sum("day_pnl").alias("a"), F.sum(F.col("day_pnl") * F.col("weight")).alias("b"))
+        out = out.join(m.groupBy("log_id").agg(F.min("a").alias("fixed_worst_month"), F.min("b").alias("target_worst_month")), "log_id")
     return out
 
 

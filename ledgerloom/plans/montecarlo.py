@@ -22,6 +22,7 @@ from ..functions.contracts import mini_units
 from ..operators import kernel as K
 from ..operators import metrics as M
 from ..operators.replay import close_violations
+from ..operators.stress import uniform
 
 BLOCK = 1250
 MIN_DAYS = 30
@@ -100,6 +101,13 @@ def exposure_of(entry: np.ndarray, exit_: np.ndarray, units: np.ndarray) -> floa
     return float(np.cumsum(np.concatenate([units, -units])[np.lexsort((kind, ts))]).max())
 
 
+def samplers(trades: DataFrame, firm: Firm, cfg: Config = Config()) -> DataFrame:
+    """Per log: source days, the sampler asked for and the one used; under MIN_DAYS days there are no blocks to resample, so days come one by one."""
+    n = trades.groupBy("log_id").agg(F.count_distinct(firm.day_boundary.date("exit_time")).alias("n_days"))
+    used = F.when((F.lit(cfg.bootstrap) == "stationary") & (F.col("n_days") < MIN_DAYS), "iid_day").otherwise(cfg.bootstrap)
+    return n.select("log_id", "n_days", F.lit(cfg.bootstrap).alias("asked"), used.alias("used"))
+
+
 def screen(trades: DataFrame, firm: Firm) -> None:
     """Refuses logs whose trades break a session close: resampling such days would count what can't happen."""
     for ph in (*firm.phases, firm.funded):
@@ -427,7 +435,7 @@ def multi_account(p: DataFrame, firm: Firm, k: int) -> DataFrame:
     """
     m = with_money(p, firm).select("log_id", "path_id", "net")
     n = m.groupBy("log_id").agg(F.count("*").alias("n"))
-    m = m.join(n, "log_id").withColumn("i", F.row_number().over(Window.partitionBy("log_id").orderBy(F.xxhash64("path_id"), "path_id")) - 1)
+    m = m.join(n, "log_id").withColumn("i", F.row_number().over(Window.partitionBy("log_id").orderBy(uniform(F.lit("accounts"), "path_id"), "path_id")) - 1)
     ind = m.select("log_id", "i", "n", "net", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j"))
     ind = ind.groupBy("log_id", F.pmod(F.col("i") + F.col("j") * F.floor(F.col("n") / k), F.col("n")).alias("i")).agg(F.sum("net").alias("x"))
 

@@ -241,18 +241,6 @@ def _coded(spark, sf_dir):
     return t, daily, S.regime_codes(S.ewma(daily)), wins
 
 
-@query()
-def q_vol_regimes(spark, sf_dir):
-    _, daily, coded, wins = _coded(spark, sf_dir)
-    return _r(S.regimes(coded, daily, wins), 4)
-
-
-@query()
-def q_regime_summary(spark, sf_dir):
-    _, daily, coded, wins = _coded(spark, sf_dir)
-    return S.regime_summary(S.regimes(coded, daily, wins))
-
-
 BARS = """with b0 as (select *, l_shipdate::timestamp as dt, 60 * (810 + (l_orderkey * 7 + l_linenumber * 13) % 360) as s from lineitem),
 bars as (select dt as datetime, arg_min(l_extendedprice, (s, -(l_orderkey % 55), l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)) as open, max(l_extendedprice) as high, min(l_extendedprice) as low,
                 arg_max(l_extendedprice, (s, -(l_orderkey % 55), l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)) as close, sum(l_quantity) as volume from b0 group by dt)"""
@@ -273,16 +261,6 @@ def q_market_regimes(spark, sf_dir):
     return _r(S.market_days(bars_li(spark, sf_dir), F.to_date("datetime")).select("session_date", "atr", "sma", "regime"), 6)
 
 
-@query(BARS + ", d as (select min(datetime)::date as a, max(datetime)::date as b from bars), g as (select unnest(generate_series(a::timestamp, b::timestamp, interval 1 day))::date as day from d) select day from g where isodow(day) < 6 and day not in (select datetime::date from bars)")
-def q_weekday_gaps(spark, sf_dir):
-    return files.weekday_gaps(bars_li(spark, sf_dir))
-
-
-@query()
-def q_vol_clustering(spark, sf_dir):
-    return _r(S.clustering(M.indexed(M.days(trades_li(spark, sf_dir)))), 5)
-
-
 @query(
     LI + """, m as (select log_id, avg(pnl) as mu from trades_li group by log_id), c as (select log_id, count(*)::double as n, avg(power(pnl - mu, 2)) as m2, avg(power(pnl - mu, 3)) as m3, avg(power(pnl - mu, 4)) as m4, any_value(mu) as mu from trades_li join m using (log_id) group by log_id)
 select log_id, n::bigint as n, round(m3 / power(m2, 1.5), 5) as skew, round(m4 / (m2 * m2), 5) as kurt, round(mu / sqrt(m2 * n / (n - 1)), 6) as sr, round(mu / sqrt(m2 * n / (n - 1)) * sqrt(n), 5) as sqn from c"""
@@ -374,11 +352,6 @@ def q_pbo_6(spark, sf_dir):
     return _r(X.pbo(variants_li(spark, sf_dir), 6).select("n_splits", "pbo", "median_logit", "p_oos_loss"))
 
 
-@query()
-def q_pbo(spark, sf_dir):
-    return X.pbo(variants_li(spark, sf_dir), 16)
-
-
 @query()
 def q_scorecard(spark, sf_dir):
     t = trades_li(spark, sf_dir)
@@ -397,11 +370,6 @@ def q_overfit_flags(spark, sf_dir):
     return X.flags(M.full(t), X.bootstrap_mean(t), S.halves(t), S.hac_slope(t), S.mann_kendall(t), S.runs(t), S.smoothness(t), M.symbol_months(t), S.clustering(daily), reg)
 
 
-@query()
-def q_vol_target_counterfactual(spark, sf_dir):
-    return _r(X.vol_counterfactual(X.vol_weights(S.ewma(M.indexed(M.days(trades_li(spark, sf_dir)))))), 4)
-
-
 # --- parsing --------------------------------------------------------------------------------------------------------
 
 
@@ -546,3 +514,6 @@ def q_worst_regime(spark, sf_dir):
     firm = C.PRESETS["topstep_50k"]
     prof = MC.profiles(t, firm)
     return MC.economics(MC.paths(t, firm, [MC.Config(n_paths=1000)], logs=prof, days=keep), firm)
+
+
+from . import proofs  # noqa: E402, F401  the rest of the queries, registered by import

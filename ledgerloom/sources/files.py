@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..errors import IngestError
 from ..functions.money import parse_money
-from ..functions.timestamps import DATE_ONLY, TIME_ONLY, is_naive, joined, parse_instant
+from ..functions.timestamps import DATE_ONLY, FORMATS, TIME_ONLY, is_naive, joined, parse_instant, pattern
 from ..schema import LOGS, SCHEMA_VERSION, TRADES, finite, sequenced, split_valid
 from ..session import pin
 from . import mapping as MP
@@ -79,8 +79,9 @@ def read_trades_csv(spark: SparkSession, path: str, mapping: dict | MP.Mapping |
         raise IngestError(f"unknown time zone {tz!r}") from None
     col = lambda f: F.col(f"`{getattr(m, f)}`") if getattr(m, f) else None
     exit_text, shown = _time_text(d, m.exit_time, "exit")
-    exit_ = parse_instant(exit_text, tz)
-    entry = parse_instant(_time_text(d, m.entry_time, "entry")[0], tz) if m.entry_time else exit_
+    formats = (pattern(m.datetime_format),) if m.datetime_format else FORMATS
+    exit_ = parse_instant(exit_text, tz, formats)
+    entry = parse_instant(_time_text(d, m.entry_time, "entry")[0], tz, formats) if m.entry_time else exit_
     qty = parse_money(col("quantity")) if m.quantity else F.lit(1.0)
     if m.side:
         word = F.lower(F.trim(col("side")))

@@ -127,3 +127,19 @@ def test_scorecard_grades(spark):
     bad = log(spark, random_days(5, n=40, mean=-60.0))
     s = first(X.scorecard(M.full(bad), X.bootstrap_mean(bad, 500), X.trimmed_pf(bad), S.deflated(bad)))
     assert s["overall"] == "F"
+
+
+def test_overfitting_fills_gaps_and_refuses_nonsense(spark):
+    import pytest
+    from ledgerloom.errors import LedgerError
+    from ledgerloom.operators.stress import pbo
+
+    rows = [(d, v, float((d * 7 + k * 3) % 11 - 5)) for d in range(40) for k, v in enumerate("abc")]
+    full = [(d, v, 0.0 if v == "b" and 10 <= d < 20 else x) for d, v, x in rows]
+    gaps = [r for r in full if not (r[1] == "b" and 10 <= r[0] < 20)]
+    make = lambda r: spark.createDataFrame(r, "day int, variant string, pnl double")
+    a, b = pbo(make(full), 4).first(), pbo(make(gaps), 4).first()
+    assert a == b and a.n_variants == 3 and a.n_days == 40
+    for bad in ([r for r in rows if r[1] == "a"], [(d, v, float(d)) for d, v, _ in rows], [(d, v, float("nan") if d == 3 else x) for d, v, x in rows]):
+        with pytest.raises(LedgerError):
+            pbo(make(bad), 4)

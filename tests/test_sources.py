@@ -94,3 +94,38 @@ def test_parquet_round_trip(spark, tmp_path):
     spark.createDataFrame([(0, "USD", "x", 99)], "log_id bigint, account_currency string, source string, schema_version int").write.mode("overwrite").parquet(str(tmp_path / "log/logs"))
     with pytest.raises(IngestError, match="version"):
         files.read_log(spark, str(tmp_path / "log"))
+
+
+def test_time_format_of_a_mapping(spark, tmp_path):
+    from ledgerloom.errors import IngestError
+    from ledgerloom.sources.files import read_trades_csv
+
+    p = tmp_path / "t.csv"
+    p.write_text("Exit Time,Profit\n03/02/2026 14:05,10\n25/12/2026 09:30,-4\n")
+    r = read_trades_csv(spark, str(p), {"datetime_format": "%d/%m/%Y %H:%M"})
+    assert [str(x.exit_time) for x in r.rows.orderBy("trade_seq").collect()] == ["2026-02-03 14:05:00", "2026-12-25 09:30:00"] and r.rejects.count() == 0
+    with pytest.raises(IngestError):
+        read_trades_csv(spark, str(p), {"datetime_format": "%Q"})
+
+
+def test_mapping_files_are_strict(tmp_path):
+    from ledgerloom.errors import IngestError
+    from ledgerloom.sources.mapping import from_yaml
+
+    for text in ("- a\n", "pnl: [1]\n", "a: {b: [}\n", "side: {column: s, long: buy}\n"):
+        (tmp_path / "m.yaml").write_text(text)
+        with pytest.raises(IngestError):
+            from_yaml(str(tmp_path / "m.yaml"))
+    with pytest.raises(IngestError):
+        from_yaml(str(tmp_path / "none.yaml"))
+    (tmp_path / "m.yaml").write_text("")
+    assert from_yaml(str(tmp_path / "m.yaml")) == {}
+
+
+def test_percent_columns_and_rivals():
+    from ledgerloom.errors import IngestError
+
+    assert detect(["Exit Time", "P/L", "P/L %"]).pnl == "P/L"
+    assert detect(["Exit Time", "Net PnL", "NetPnL", "PnL"]).pnl == "PnL"
+    with pytest.raises(IngestError):
+        detect(["Exit Time", "Net PnL", "NetPnL", "Profit %"])
