@@ -1,25 +1,31 @@
 """LM scoring by a hierarchical Pitman-Yor model.
 
 Tokens are the texts' words (ASCII case folded) and an end. A token is drawn in the restaurant of its context, the
-last byte of the word before (or the start of the text); all context restaurants share the unigram restaurant as
-parent, and that has the uniform distribution over the V known tokens and one unknown as its base. Seating is
-sampled by Gibbs: given the restaurants' totals the words are independent, and the number of tables that serve a
-word in a restaurant has the conditional p(t) ~ S_d(c, t) a^t (generalised Stirling numbers, a the weight of a new
-table), drawn exactly for up to EXACT customers and customer by customer in growing blocks beyond. Context tables
-are the parent's customers, whose tables are drawn in turn. PASSES times the totals are summed over the whole
-corpus; the last pass averages the predictive probabilities of SAMPLES seatings. Discounts come from the counts
-(n1 / (n1 + 2 n2)), strengths are 1.
-
-Words are counted in batches of BATCH bytes of text; a batch sends each of its distinct words once, with its
-contexts and counts, to the word's bucket, and gets their probabilities back. So what moves grows with distinct
-words per batch, not tokens, nothing of the corpus meets on the driver but 514 sums, and no vocabulary is
-broadcast. Null texts are empty: one end token. Rows with a null id are learnt from. Equal rows count twice, as
-two texts. Empty tables give no rows.
+whole word before it (or the start of the text); all context restaurants share the unigram restaurant as parent, and
+that has the uniform distribution over the V known tokens and one unknown as its base. Seating is sampled by Gibbs:
+given a restaurant's totals its words are independent, and the number of tables that serve a word has the
+conditional p(t) ~ S_d(c, t) a^t (generalised Stirling numbers, a the weight of a new table), drawn exactly for up to
+EXACT customers and customer by customer in growing blocks beyond. The tables of a word over all contexts are the
+parent's customers, whose tables are drawn in turn; the parent's probabilities go back to the contexts. PASSES
+times up and down, SWEEPS draws each; then the predictive probabilities of SAMPLES seatings are averaged. Discount and
+strength of both levels are drawn from their posterior on a grid, given the numbers of tables (words of more than EXACT
+customers tell nothing of the discount).
+
+Where things are: texts are counted in batches of about BATCH bytes. A batch sends its (context, word) pairs to the
+context's bucket; a bucket has whole restaurants, so their totals are at hand. A context with more tokens than a bucket
+should have is split over buckets by its words, and its totals are summed over them (frozen during a pass, so its
+probabilities sum to one only nearly; no more than HOT contexts are split). Words have buckets of their own, where the
+unigram restaurant is seated. All counts are merged in sorted arrays, nothing of the corpus meets on the driver but
+totals, and no vocabulary is broadcast. A word is known by 64 bits of its hash, as a context and in a context by 48.
+
+Null texts are empty: one end token. Rows with a null id are learnt from. Equal rows count twice, as two texts. Very
+long texts are one batch. Other columns are ignored. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import struct
 
 import numpy as np
@@ -27,12 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, byte_slices, signed, stored, text_of, trim, word_hash, word_spans
+from .common import SPACED, byte_slices, mix64, stored, text_of, trim, word_hash, word_spans
 
-BATCH, EXACT, PASSES, SWEEPS, SAMPLES = 8_000_000, 32, 2, 2, 3
-STRENGTH, FOLDS, HELD = 1.0, 7, 2
-START = 10  # a line feed never ends a word
-_END = np.array([0xE7037ED1A0B428DB], np.uint64)
+BATCH, EXACT, PASSES, SWEEPS, SAMPLES, HOT = 8_000_000, 32, 1, 2, 3, 10_000
+FOLDS, HELD = 7, 2
+_END, _START = np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 
 
 def pack(**arrays: np.ndarray) -> bytes:
@@ -52,67 +57,89 @@ def unpack(b: bytes) -> dict[str, np.ndarray]:
 # --- counting ------------------------------------------------------------------------------
 
 
-def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes with the ends, their contexts, and the number of tokens of each text."""
+def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Token hashes with the ends, and the number of tokens of each text."""
     s, e, first = word_spans(data, offs, SPACED)
-    h = word_hash(data, s, e, lower=True)
-    last = data[e - 1] if len(e) else np.zeros(0, np.uint8)
-    last = last + np.where((last >= 65) & (last <= 90), 32, 0).astype(np.uint8)
     n = np.diff(first) + 1
-    begin = np.cumsum(n) - n
     word = np.ones(int(n.sum()), bool)
-    word[begin + n - 1] = False
-    tok = np.full(len(word), _END[0])
-    tok[word] = h
-    own = np.full(len(word), START, np.uint8)
-    own[word] = last
-    ctx = np.concatenate([[START], own[:-1]]).astype(np.uint8)
-    ctx[begin] = START
-    return tok, ctx, n
+    word[np.cumsum(n) - 1] = False
+    tok = np.full(len(word), _END)
+    tok[word] = word_hash(data, s, e, lower=True)
+    return tok, n
 
 
-_COUNTED = "batch bigint, bucket int, doc_id bigint, held_out boolean, words binary, ids binary"
+def _six(x: np.ndarray) -> np.ndarray:
+    """The lower six bytes of each number."""
+    return np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].ravel()
 
 
-def _count(docs: DataFrame, buckets: int, batch_bytes: int) -> DataFrame:
-    """Rows of two kinds: a batch's words for a bucket; a document's tokens as numbers of the batch's (word, context) pairs."""
+def _unsix(b: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = b.reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def _share(x: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of 48-bit hashes: rising with the hash, so the words of a bucket stand together in sorted order."""
+    return ((x >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _cuts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])) if len(x) else np.zeros(1, int)
+
+
+def _rows(schema: str):
+    """A function that makes record batches of a schema from columns."""
+    types = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "double": pa.float64()}
+    fields = [x.split() for x in schema.split(", ")]
+
+    def make(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
+
+    return make
+
+
+_COUNTED = "batch bigint, words binary, pairs binary, place binary, doc_id bigint, held_out boolean, ids binary"
+
+
+def _count(docs: DataFrame, batch_bytes: int) -> DataFrame:
+    """Rows of two kinds: a batch's words, its pairs (context, trained count) and the pairs' words; a document's tokens as numbers of pairs."""
+    make = _rows(_COUNTED)
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, size = TaskContext.get().partitionId(), 0, 0
         held: list = []
-        size = 0
-        names = [c.split()[0] for c in _COUNTED.split(", ")]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
-
-        def out(cols):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
         def flush():
             nonlocal seq
-            tok, ctx, n = (np.concatenate([x[i] for x in held]) for i in range(3))
-            ids = [v for x in held for v in x[3]]
-            out_of = np.concatenate([x[4] for x in held])
+            tok, n = (np.concatenate([x[i] for x in held]) for i in range(2))
+            ids = [v for x in held for v in x[2]]
+            out_of = np.concatenate([x[3] for x in held])
             batch = (part << 24) + seq
             seq += 1
             held.clear()
-            trim()
-            word, inv = np.unique(tok, return_inverse=True)
-            pair, num = np.unique(inv.astype(np.int64) << 8 | ctx, return_inverse=True)
-            cnt = np.bincount(num, weights=np.repeat(~out_of, n), minlength=len(pair)).astype(np.uint32)
-            start = np.searchsorted(pair >> 8, np.arange(len(word) + 1)).astype(np.uint32)
-            bucket = ((word >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-            for a, b in zip(cut[:-1], cut[1:]):
-                x, y = start[a], start[b]
-                blob = pack(word=word[a:b], start=start[a:b], n=np.diff(start[a : b + 1]).astype(np.uint16), ctx=(pair[x:y] & 255).astype(np.uint8), cnt=cnt[x:y])
-                yield out([[batch], [int(bucket[a])], [None], [None], [blob], [None]])
+            word, inv = np.unique(np.append(tok, _START), return_inverse=True)
+            del tok
+            inv = inv.astype(np.int64)
+            start, inv = inv[-1], inv[:-1]
             ends = np.cumsum(n)
+            before = np.concatenate([[start], inv[:-1]])
+            before[ends - n] = start
+            pair, num = np.unique(before << 32 | inv, return_inverse=True)
+            cnt = np.bincount(num, weights=np.repeat(~out_of, n), minlength=len(pair)).astype(np.uint32)
+            v = (pair >> 32).astype(np.int64)
+            runs = np.bincount(v, minlength=len(word)).astype(np.uint32)
+            yield make([batch], [pack(word=word, runs=runs)], [pack(c=cnt)], [pack(w=(pair & 0xFFFFFFFF).astype(np.uint32))], [None], [None], [None])
             num = num.astype("<u4")
             for i in range(0, len(n), 200):
                 k = range(i, min(i + 200, len(n)))
-                yield out([[batch] * len(k), [-1] * len(k), [ids[j] for j in k], out_of[k.start : k.stop], [None] * len(k), [num[ends[j] - n[j] : ends[j]].tobytes() for j in k]])
+                none = [None] * len(k)
+                yield make([batch] * len(k), none, none, none, [ids[j] for j in k], out_of[k.start : k.stop], [num[ends[j] - n[j] : ends[j]].tobytes() for j in k])
+            del pair, num
+            trim()
 
         for b in batches:
             for i, j, data, offs in byte_slices(b.column("text")):
@@ -127,40 +154,115 @@ def _count(docs: DataFrame, buckets: int, batch_bytes: int) -> DataFrame:
     return docs.mapInArrow(run, _COUNTED)
 
 
-def _merge(rows: DataFrame) -> DataFrame:
-    """One row a bucket: its words, their trained (context, count) pairs, and who asks for which contexts."""
+def _by_key(rows: DataFrame, key: str, others: list[str], schema: str, flush, parts: int) -> DataFrame:
+    """flush(key, rows) over all rows of each key, in the order of the other columns; rows hold unpacked data last."""
+    rows = rows.repartition(parts, key).sortWithinPartitions(key, *others)
 
     def run(batches):
         now, held = None, []
-
-        def flush():
-            got = [(b, unpack(x)) for b, x in held]
-            allw = np.concatenate([g["word"] for _, g in got])
-            word, inv = np.unique(allw, return_inverse=True)
-            n = np.concatenate([g["n"] for _, g in got]).astype(np.int64)
-            ctx = np.concatenate([g["ctx"] for _, g in got])
-            cnt = np.concatenate([g["cnt"] for _, g in got])
-            code = np.repeat(inv.astype(np.int64), n) << 8 | ctx
-            pair, num = np.unique(code, return_inverse=True)
-            total = np.bincount(num, weights=cnt).astype(np.int64)
-            seen = total > 0
-            batch = np.concatenate([np.full(len(g["word"]), b, np.int64) for b, g in got])
-            start = np.concatenate([g["start"] for _, g in got])
-            blob = pack(words=np.array([len(word)]), pair=pair[seen], c=total[seen], batch=batch, asks=inv.astype(np.uint32), start=start, n=n.astype(np.uint16), ctx=ctx)
-            held.clear()
+        for b in batches:
+            for x in zip(*(b.column(c).to_pylist() for c in (key, *others, "data"))):
+                if x[0] != now and held:
+                    yield from flush(now, held)
+                    held = []
+                    trim()
+                now = x[0]
+                held.append((*x[1:-1], unpack(x[-1])))
+        if held:
+            yield from flush(now, held)
             trim()
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "data"])
 
+    return rows.mapInArrow(run, schema)
+
+
+_UNIGRAMS = "bucket int, words binary, batch bigint, start bigint, counts binary"
+
+
+def _unigrams(counted: DataFrame, buckets: int) -> DataFrame:
+    """Rows of two kinds: a bucket's words with their trained counts; those counts for a batch's words from `start` on."""
+    schema = "bucket int, batch bigint, start bigint, data binary"
+    make, out = _rows(schema), _rows(_UNIGRAMS)
+
+    def split(batches):
         for b in batches:
-            for k, batch, x in zip(b.column("bucket").to_pylist(), b.column("batch").to_pylist(), b.column("words").to_pylist()):
-                if k != now and held:
-                    yield flush()
-                now = k
-                held.append((batch, x))
-        if held:
-            yield flush()
+            for batch, x, c, w in zip(*(b.column(k).to_pylist() for k in ("batch", "words", "pairs", "place"))):
+                word, w = unpack(x)["word"], unpack(w)["w"]
+                n = np.bincount(w, weights=unpack(c)["c"], minlength=len(word)).astype(np.uint32)
+                bucket = _share(word >> np.uint64(16), buckets)
+                cut = _cuts(bucket)
+                for i, j in zip(cut[:-1], cut[1:]):
+                    yield make([int(bucket[i])], [batch], [i], [pack(word=word[i:j], n=n[i:j])])
+
+    def merge(bucket, rows):
+        word, inv = np.unique(np.concatenate([x["word"] for *_, x in rows]), return_inverse=True)
+        n = np.bincount(inv, weights=np.concatenate([x["n"] for *_, x in rows])).astype(np.int64)
+        yield out([bucket], [pack(word=word, n=n)], [None], [None], [None])
+        at = 0
+        for batch, start, x in rows:
+            k = len(x["word"])
+            yield out([bucket], [None], [batch], [start], [pack(n=n[inv[at : at + k]].astype(np.uint32))])
+            at += k
+
+    rows = counted.where("words is not null").select("batch", "words", "pairs", "place").mapInArrow(split, schema)
+    return _by_key(rows, "bucket", ["batch", "start"], _UNIGRAMS, merge, buckets)
+
+
+_BIGRAMS = "bucket int, pairs binary, words binary, batch bigint, start bigint, asks binary"
+
+
+def _bigrams(counted: DataFrame, buckets: int, hot: np.ndarray, parts: np.ndarray) -> DataFrame:
+    """Rows of two kinds: a bucket's restaurants (pairs a context, word numbers, trained counts) and its words; which of the pairs a batch has from `start` on.
+
+    hot: 48-bit hashes of the contexts that are split, sorted; parts: over how many buckets each."""
+    schema = "bucket int, batch bigint, start bigint, data binary"
+    make, out = _rows(schema), _rows(_BIGRAMS)
 
-    return rows.mapInArrow(run, "bucket int, data binary")
+    def split(batches):
+        for b in batches:
+            for batch, x, c, w in zip(*(b.column(k).to_pylist() for k in ("batch", "words", "pairs", "place"))):
+                x, c, w = unpack(x), unpack(c)["c"], unpack(w)["w"]
+                word = x["word"] >> np.uint64(16)
+                runs = x["runs"].astype(np.int64)
+                v, w = np.repeat(word, runs), word[w]
+                bucket = _share(v, buckets)
+                if len(hot):
+                    i = np.minimum(np.searchsorted(hot, v), len(hot) - 1)
+                    of = np.flatnonzero(hot[i] == v)
+                    part = (w[of] >> np.uint64(16)) * parts[i[of]] >> np.uint64(32)
+                    bucket[of] = _share(mix64(v[of] + part * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16), buckets)
+                cut = _cuts(bucket)
+                for i, j in zip(cut[:-1], cut[1:]):
+                    k = _cuts(v[i:j])
+                    yield make([int(bucket[i])], [batch], [i], [pack(v=_six(v[i:j][k[:-1]]), n=np.diff(k).astype(np.uint32), w=_six(w[i:j]), c=c[i:j])])
+                del x, c, w, v, word, bucket
+                trim()
+
+    def merge(bucket, rows):
+        v = np.concatenate([np.repeat(_unsix(x["v"]), x["n"]) for *_, x in rows])
+        w = np.concatenate([_unsix(x["w"]) for *_, x in rows])
+        order = np.lexsort((w, v))
+        v, w = v[order], w[order]
+        new = np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])])
+        inv = np.empty(len(v), np.uint32)
+        inv[order] = (np.cumsum(new) - 1).astype(np.uint32)
+        c = np.bincount(inv, weights=np.concatenate([x["c"] for *_, x in rows])).astype(np.uint32)
+        v, w = v[new], w[new]
+        del order, new
+        word, num = np.unique(w, return_inverse=True)
+        cut = _cuts(v)
+        who = np.full(len(cut) - 1, -1, np.int32)
+        if len(hot):
+            i = np.minimum(np.searchsorted(hot, v[cut[:-1]]), len(hot) - 1)
+            who = np.where(hot[i] == v[cut[:-1]], i, -1).astype(np.int32)
+        yield out([bucket], [pack(n=np.diff(cut).astype(np.uint32), hot=who, w=num.astype(np.uint32), c=c)], [_six(word).tobytes()], [None], [None], [None])
+        at = 0
+        for batch, start, x in rows:
+            k = len(x["c"])
+            yield out([bucket], [None], [None], [batch], [start], [inv[at : at + k].tobytes()])
+            at += k
+
+    rows = counted.where("words is not null").select("batch", "words", "pairs", "place").mapInArrow(split, schema)
+    return _by_key(rows, "bucket", ["batch", "start"], _BIGRAMS, merge, buckets)
 
 
 # --- seating -------------------------------------------------------------------------------
@@ -207,137 +309,314 @@ def draw_tables(c: np.ndarray, a: np.ndarray, d: float, stirling: np.ndarray, rn
     return t
 
 
-#: Places of the sums: customers and tables of each context, then tokens, known words, root tables, singletons and pairs for both discounts.
-_N, _V, _TU, _N1, _N2, _R1, _R2 = 512, 513, 514, 515, 516, 517, 518
-_SUMS = 519
+_lgamma = np.vectorize(math.lgamma, otypes=[float])
 
 
-class Totals:
-    def __init__(self, sums: np.ndarray, discounts: tuple[float, float] | None = None):
-        self.C, self.T = sums[:256], sums[256:512]
-        self.N, self.V, self.TU, self.CU = sums[_N], sums[_V], sums[_TU], sums[256:512].sum()
-        if discounts is None:
-            share = lambda a, b: float(np.clip(a / (a + 2 * b) if a + b else 0.5, 0.05, 0.95))
-            discounts = share(sums[_N1], sums[_N2]), share(sums[_R1], sums[_R2])
-        self.d, self.d0 = self.discounts = discounts
-        self.uniform = 1.0 / (self.V + 1)
+def _bins(x: np.ndarray) -> np.ndarray:
+    """Numbers up to 2,048 as they are, greater ones in steps of 2 %."""
+    x = np.asarray(x, float)
+    return np.where(x <= 2048, x, 2048 + np.ceil(np.log(np.maximum(x, 2048) / 2048) / math.log(1.02))).astype(np.int64)
 
 
-class Seating:
-    """The seating of one bucket's words given the totals."""
+def _unbinned(b: np.ndarray) -> np.ndarray:
+    return np.where(b <= 2048, b, 2048 * 1.02 ** (b - 2048.0))
 
-    def __init__(self, x: dict[str, np.ndarray], g: Totals, seed: list[int]):
-        self.g, self.rng = g, np.random.default_rng(seed)
-        self.words, self.c = int(x["words"][0]), x["c"]
-        self.w, self.k = x["pair"] >> 8, x["pair"] & 255
-        self.s, self.s0 = log_stirling(EXACT, g.d), log_stirling(EXACT, g.d0)
-        self.t = np.ones(len(self.c), np.int64)
-        self._root(first=True)
 
-    def _root(self, first: bool = False) -> None:
-        g = self.g
-        self.cu = np.bincount(self.w, weights=self.t, minlength=self.words).astype(np.int64)
-        new = (STRENGTH + g.d0 * g.TU) * g.uniform
-        self.tu = np.minimum(self.cu, 1) if first else draw_tables(self.cu, np.full(self.words, new), g.d0, self.s0, self.rng)
-        self.p = (self.cu - g.d0 * self.tu + (STRENGTH + g.d0 * g.TU) * g.uniform) / (STRENGTH + g.CU)
+def draw_parameters(tables: dict[int, float], customers: dict[int, float], seats: dict[tuple[int, int], float], rng) -> tuple[float, float]:
+    """(discount, strength) from their posterior on a grid: numbers of restaurants by (binned) tables and customers, numbers of words by (c, t)."""
+    if not tables:
+        return 0.5, 1.0
+    ds, ss = np.linspace(0.05, 0.95, 19), np.geomspace(0.01, 1000, 26)
+    t, ht = _unbinned(np.array(list(tables))), np.array(list(tables.values()))
+    n, hn = _unbinned(np.array(list(customers))), np.array(list(customers.values()))
+    out = np.zeros((len(ds), len(ss)))
+    for i, d in enumerate(ds):
+        s = log_stirling(EXACT, d)
+        words = sum(k * s[c, m] for (c, m), k in seats.items())
+        for j, a in enumerate(ss):
+            grown = (ht * ((t - 1) * math.log(d) + _lgamma(a / d + t) - math.lgamma(a / d + 1))).sum()
+            out[i, j] = words + grown - (hn * (_lgamma(a + n) - math.lgamma(a + 1))).sum()
+    p = np.exp(out - out.max()).ravel()
+    k = int(rng.choice(len(p), p=p / p.sum()))
+    return float(ds[k // len(ss)]), float(ss[k % len(ss)])
 
-    def sweep(self) -> None:
-        a = (STRENGTH + self.g.d * self.g.T[self.k]) * self.p[self.w]
-        self.t = draw_tables(self.c, a, self.g.d, self.s, self.rng)
-        self._root()
 
-    def sums(self) -> np.ndarray:
-        out = np.zeros(_SUMS)
-        out[:256] = np.bincount(self.k, weights=self.c, minlength=256)
-        out[256:512] = np.bincount(self.k, weights=self.t, minlength=256)
-        out[_N], out[_V], out[_TU] = self.c.sum(), (self.cu > 0).sum(), self.tu.sum()
-        out[_N1], out[_N2], out[_R1], out[_R2] = (self.c == 1).sum(), (self.c == 2).sum(), (self.cu == 1).sum(), (self.cu == 2).sum()
-        return out
+#: Kinds of the numbers that are summed on the way to the driver.
+_TABLES, _CUSTOMERS, _SEATS, _HOT_C, _HOT_T, _OTHER = range(6)
+_SUMS = "kind int, i bigint, v double"
 
 
-def _pass(buckets: DataFrame, g: Totals | None, seed: int) -> Totals:
-    """Seats every bucket and sums the totals; without totals every pair has one table."""
-    start = g or Totals(np.zeros(_SUMS), (0.5, 0.5))
+def _told(kind: int, i: np.ndarray, v: np.ndarray | None = None):
+    """Rows of sums by i."""
+    u, inv = np.unique(np.asarray(i, np.int64), return_inverse=True)
+    return _rows(_SUMS)(np.full(len(u), kind, np.int32), u, np.bincount(inv, weights=v, minlength=len(u)).astype(float))
 
-    def run(batches):
-        for b in batches:
-            for k, x in zip(b.column("bucket").to_pylist(), b.column("data").to_pylist()):
-                s = Seating(unpack(x), start, [seed, k])
-                for _ in range(SWEEPS if g else 0):
-                    s.sweep()
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(_SUMS, dtype=np.int32)), pa.array(s.sums())], names=["i", "v"])
 
-    sums = np.zeros(_SUMS)
-    for r in buckets.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v")).collect():
-        sums[r[0]] = r[1]
-    return Totals(sums, g.discounts if g else None)
+def _collected(sums: DataFrame) -> dict[int, dict[int, float]]:
+    out: dict[int, dict[int, float]] = {k: {} for k in range(6)}
+    for kind, i, v in sums.groupBy("kind", "i").agg(F.sum("v")).collect():  # bins, split contexts, a few totals
+        out[kind][i] = v
+    return out
+
+
+def _seat_sums(c: np.ndarray, t: np.ndarray):
+    few = (c > 0) & (c <= EXACT)
+    return _told(_SEATS, c[few].astype(np.int64) * (EXACT + 1) + t[few])
+
+
+def _seats(x: dict[int, float]) -> dict[tuple[int, int], float]:
+    return {(i // (EXACT + 1), i % (EXACT + 1)): v for i, v in x.items()}
+
 
+class Level:
+    """What is known of the whole: parameters and totals."""
 
-def _answers(buckets: DataFrame, g: Totals, seed: int) -> DataFrame:
-    """A row a bucket and batch: the averaged log10 probabilities of the pairs that the batch asked for."""
+    def __init__(self, d: float = 0.5, strength: float = 1.0, hot: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))):
+        self.d, self.strength, self.hot = d, strength, hot
+
+
+class Restaurants:
+    """The context restaurants of a bucket. p: the parent's probability of each of the bucket's words."""
+
+    def __init__(self, x: dict[str, np.ndarray], p: np.ndarray | None, level: Level, rng):
+        self.w, self.c, self.d, self.strength, self.rng = x["w"].astype(np.int64), x["c"].astype(np.int64), level.d, level.strength, rng
+        hot = level.hot
+        self.at = np.concatenate([[0], np.cumsum(x["n"].astype(np.int64))])
+        self.r = np.repeat(np.arange(len(x["n"])), x["n"])
+        self.hot, self.split = x["hot"], x["hot"] >= 0
+        self.own_c = np.add.reduceat(self.c, self.at[:-1])
+        self.C = np.where(self.split, hot[0][self.hot] if len(hot[0]) else 0, self.own_c)
+        self.hot_t = np.where(self.split, hot[1][self.hot] if len(hot[1]) else 0, 0)
+        self.p = None if p is None else p[self.w]
+        self.stirling = log_stirling(EXACT, level.d)
+        self._seated(np.minimum(self.c, 1))
+
+    def _seated(self, t: np.ndarray) -> None:
+        self.t, self.own_t = t, np.add.reduceat(t, self.at[:-1])
+        self.T = np.where(self.split, self.hot_t, self.own_t)
+
+    def sweep(self) -> None:
+        some = np.flatnonzero(self.c > 1)  # one customer has one table
+        t = np.minimum(self.c, 1)
+        a = (self.strength + self.d * self.T[self.r[some]]) * self.p[some]
+        t[some] = draw_tables(self.c[some], a, self.d, self.stirling, self.rng)
+        self._seated(t)
+
+    def predictive(self) -> np.ndarray:
+        C, T = self.C[self.r], self.T[self.r]
+        return (self.c - self.d * self.t + (self.strength + self.d * T) * self.p) / (self.strength + C)
+
+    def told(self):
+        whole = ~self.split & (self.own_c > 0)
+        yield _told(_TABLES, _bins(self.own_t[whole]))
+        yield _told(_CUSTOMERS, _bins(self.own_c[whole]))
+        yield _seat_sums(self.c, self.t)
+        if self.split.any():
+            yield _told(_HOT_C, self.hot[self.split], self.own_c[self.split])
+            yield _told(_HOT_T, self.hot[self.split], self.own_t[self.split])
+
+
+_JOINED = "bucket int, origin int, start bigint, pairs binary, words binary, p binary, batch bigint, asks binary"
+
+
+def _joined(bigrams: DataFrame, parents: DataFrame | None, root: Root | None, buckets: int, asks: bool = False) -> DataFrame:
+    """The context buckets' rows, each followed by the parent's probabilities of its words and, if wanted, by what batches ask of it."""
+    null = {c: F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in _JOINED.split(", "))}
+
+    def shaped(df, **columns):
+        return df.select(*[columns[c].alias(c) if c in columns else null[c] for c in null])
+
+    all_ = shaped(bigrams.where("pairs is not null"), bucket=F.col("bucket"), origin=F.lit(-1), pairs=F.col("pairs"), words=F.col("words"))
+    if parents is not None:
+        made = _rows("bucket int, origin int, p binary")
+
+        def answer(batches):
+            p = None
+            for b in batches:
+                for k, x, origin, place in zip(*(b.column(c).to_pylist() for c in ("bucket", "words", "origin", "place"))):
+                    if x is not None:
+                        p = root.probabilities(k, unpack(x)["c"]).astype("<f4")
+                    else:
+                        yield made([origin], [k], [p[np.frombuffer(place, "<u4")].tobytes()])
+
+        # a word bucket's own row, without an origin, comes before those that ask it
+        p = parents.repartition(buckets, "bucket").sortWithinPartitions("bucket", "origin").mapInArrow(answer, "bucket int, origin int, p binary")
+        all_ = all_.unionByName(shaped(p, bucket=F.col("bucket"), origin=F.col("origin"), p=F.col("p")))
+    if asks:
+        a = bigrams.where("asks is not null")
+        all_ = all_.unionByName(shaped(a, bucket=F.col("bucket"), origin=F.lit((1 << 31) - 1), start=F.col("start"), batch=F.col("batch"), asks=F.col("asks")))
+    return all_.repartition(buckets, "bucket").sortWithinPartitions("bucket", "origin", "batch", "start")
+
+
+def _assembled(batches):
+    """(bucket, pairs, words, p, None) of each bucket, then (batch, start, asks) of each that asks it."""
+    own, got = None, []
+    for b in batches:
+        for k, origin, start, x, words, p, batch, asks in zip(*(b.column(c.split()[0]).to_pylist() for c in _JOINED.split(", "))):
+            if x is None and p is not None:
+                got.append(p)
+                continue
+            if own is not None:
+                yield (*own, np.frombuffer(b"".join(got), "<f4").astype(float) if got else None), None
+            own, got = ((k, unpack(x), np.frombuffer(words, np.uint8)), []) if x is not None else (None, [])
+            if x is None:
+                yield None, (batch, start, asks)
+    if own is not None:
+        yield (*own, np.frombuffer(b"".join(got), "<f4").astype(float) if got else None), None
+
+
+_SEATED = "bucket int, origin int, data binary, kind int, i bigint, v double"
+
+
+def _seat(joined: DataFrame, level: Level, buckets: int, seed: int, sweeps: int) -> DataFrame:
+    """Rows of two kinds: tables of the words of a word bucket, over a bucket's contexts; sums for the driver."""
+    make = _rows(_SEATED)
 
     def run(batches):
-        for b in batches:
-            for k, x in zip(b.column("bucket").to_pylist(), b.column("data").to_pylist()):
-                x = unpack(x)
-                s = Seating(x, g, [seed, k])
-                n = x["n"].astype(np.int64)
-                w, ctx = np.repeat(x["asks"].astype(np.int64), n), x["ctx"].astype(np.int64)
-                at = np.searchsorted(x["pair"], w << 8 | ctx)
-                at = np.minimum(at, max(len(x["pair"]) - 1, 0))
-                hit = (x["pair"][at] == (w << 8 | ctx)) if len(x["pair"]) else np.zeros(len(w), bool)
-                p = np.zeros(len(w))
-                for r in range(SWEEPS + SAMPLES):
-                    s.sweep()
-                    if r >= SWEEPS:
-                        own = np.where(hit, s.c[at] - g.d * s.t[at], 0.0) if len(s.c) else 0.0
-                        p += (own + (STRENGTH + g.d * g.T[ctx]) * s.p[w]) / (STRENGTH + g.C[ctx])
-                lp = np.log10(p / SAMPLES)
-                c = np.bincount(s.w, weights=s.c, minlength=s.words).astype(np.int64)[x["asks"]]
-                cut = np.flatnonzero(np.concatenate([[True], x["batch"][1:] != x["batch"][:-1], [True]]))
-                ends = np.concatenate([[0], np.cumsum(n)])
-                ids, blobs = [], []
-                for i, j in zip(cut[:-1], cut[1:]):
-                    ids.append(int(x["batch"][i]))
-                    blobs.append(pack(start=x["start"][i:j], n=x["n"][i:j], c=c[i:j], lp=lp[ends[i] : ends[j]].astype(np.float32)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["batch", "data"])
+        for (k, x, words, p), _ in _assembled(batches):
+            word = _unsix(words)
+            s = Restaurants(x, p, level, np.random.default_rng([seed, k]))
+            for _ in range(sweeps):
+                s.sweep()
+            t = np.bincount(s.w, weights=s.t, minlength=len(word)).astype(np.uint32)
+            of = _share(word, buckets)
+            cut = _cuts(of)
+            for i, j in zip(cut[:-1], cut[1:]):
+                yield make([int(of[i])], [k], [pack(w=_six(word[i:j]), t=t[i:j])], [None], [None], [None])
+            for told in s.told():
+                none = [None] * told.num_rows
+                yield make(none, none, none, *told.columns)
+            trim()
+
+    return joined.mapInArrow(run, _SEATED)
+
+
+_PARENTS = "bucket int, words binary, origin int, place binary"
+
+
+def _parents(up: DataFrame, unigrams: DataFrame, buckets: int) -> DataFrame:
+    """Rows of two kinds: a word bucket's customers of the unigram restaurant; where the words of a context bucket stand in it."""
+    out = _rows(_PARENTS)
+    own = unigrams.where("words is not null").select("bucket", F.lit(-1).alias("origin"), F.col("words").alias("data"))
+
+    def merge(bucket, rows):
+        word = rows[0][1]["word"] >> np.uint64(16)
+        c = np.zeros(len(word), np.int64)
+        places = []
+        for origin, x in rows[1:]:
+            i = np.searchsorted(word, _unsix(x["w"]))
+            c += np.bincount(i, weights=x["t"], minlength=len(word)).astype(np.int64)
+            places.append((origin, i.astype("<u4")))
+        yield out([bucket], [pack(c=c)], [None], [None])
+        for origin, i in places:
+            yield out([bucket], [None], [origin], [i.tobytes()])
+
+    return _by_key(own.unionByName(up), "bucket", ["origin"], _PARENTS, merge, buckets)
+
+
+class Root:
+    """The unigram restaurant: totals and parameters. Its tables are drawn where they are needed, the same for the same seed."""
+
+    def __init__(self, known: float, d: float, strength: float, tables: float, seed: int):
+        self.uniform, self.d, self.strength, self.before, self.seed = 1.0 / (known + 1), d, strength, tables, seed
+        self.C = self.T = 0.0
+
+    def tables(self, bucket: int, c: np.ndarray) -> np.ndarray:
+        rng = np.random.default_rng([self.seed, bucket])
+        return draw_tables(c, np.full(len(c), (self.strength + self.d * self.before) * self.uniform), self.d, log_stirling(EXACT, self.d), rng)
 
-    return buckets.mapInArrow(run, "batch bigint, data binary")
+    def probabilities(self, bucket: int, c: np.ndarray) -> np.ndarray:
+        return (c - self.d * self.tables(bucket, c) + (self.strength + self.d * self.T) * self.uniform) / (self.strength + self.C)
 
 
+def _root(parents: DataFrame, known: float, seed: int) -> Root:
+    """Draws the unigram restaurant's tables, its parameters, and the tables again; each time the totals are summed over the word buckets."""
+    rows = parents.where("words is not null").select("bucket", "words")
+
+    def totals(root: Root | None):
+        def run(batches):
+            for b in batches:
+                for k, x in zip(b.column("bucket").to_pylist(), b.column("words").to_pylist()):
+                    c = unpack(x)["c"]
+                    t = np.minimum(c, 1) if root is None else root.tables(k, c)
+                    yield _told(_OTHER, np.array([0, 1]), np.array([c.sum(), t.sum()], float))
+                    yield _seat_sums(c, t)
+
+        got = _collected(rows.mapInArrow(run, _SUMS))
+        return got[_OTHER].get(0, 0.0), got[_OTHER].get(1, 0.0), _seats(got[_SEATS])
+
+    _, tables, _ = totals(None)
+    customers, tables, seats = totals(Root(known, 0.5, 1.0, tables, seed))
+    one = lambda x: {int(_bins(np.array([x]))[0]): 1.0} if x else {}
+    d, strength = draw_parameters(one(tables), one(customers), seats, np.random.default_rng([seed, 1]))
+    root = Root(known, d, strength, tables, seed + 1)
+    root.C, root.T, _ = totals(root)
+    return root
+
+
+# --- scores --------------------------------------------------------------------------------
+
+
+_ANSWERS = "batch bigint, kind int, start bigint, data binary"
 _SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def _score(answers: DataFrame, docs: DataFrame, g: Totals, parts: int) -> DataFrame:
-    both = answers.select("batch", F.lit(0).alias("o"), F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), "data")
-    both = both.unionByName(docs.select("batch", F.lit(1).alias("o"), "doc_id", "held_out", F.col("ids").alias("data")))
-    rows = both.repartition(parts, "batch").sortWithinPartitions("batch", "o")
-    total, spread = int(g.N), np.log10(g.N + g.V + 1)
+def _answers(joined: DataFrame, level: Level, seed: int) -> DataFrame:
+    """The averaged log10 probabilities of a batch's pairs from `start` on."""
+    make = _rows(_ANSWERS)
+
+    def run(batches):
+        lp = None
+        for own, ask in _assembled(batches):
+            if own is not None:
+                k, x, _, p = own
+                s = Restaurants(x, p, level, np.random.default_rng([seed, k]))
+                total = np.zeros(len(s.c))
+                for r in range(SWEEPS + SAMPLES):
+                    s.sweep()
+                    if r >= SWEEPS:
+                        total += s.predictive()
+                lp = np.log10(total / SAMPLES).astype("<f4")
+                del s, total
+                trim()
+            else:
+                batch, start, asks = ask
+                yield make([batch], [0], [start], [lp[np.frombuffer(asks, "<u4")].tobytes()])
+
+    return joined.mapInArrow(run, _ANSWERS)
+
+
+def _score(answers: DataFrame, counted: DataFrame, unigrams: DataFrame, tokens: float, known: float, parts: int) -> DataFrame:
+    null, zero = F.lit(None), F.lit(0).cast("bigint")
+    plain = lambda df: df.select("batch", "kind", "start", "data", null.cast("bigint").alias("doc_id"), null.cast("boolean").alias("held_out"))
+    rows = plain(answers)
+    rows = rows.unionByName(plain(unigrams.where("counts is not null").select("batch", F.lit(1).alias("kind"), "start", F.col("counts").alias("data"))))
+    rows = rows.unionByName(plain(counted.where("words is not null").select("batch", F.lit(2).alias("kind"), zero.alias("start"), F.col("place").alias("data"))))
+    rows = rows.unionByName(counted.where("words is null").select("batch", F.lit(3).alias("kind"), zero.alias("start"), F.col("ids").alias("data"), "doc_id", "held_out"))
+    rows = rows.repartition(parts, "batch").sortWithinPartitions("batch", "kind", "start")
+    total, spread, make = int(tokens), np.log10(tokens + known + 1), _rows(_SCORES)
 
     def run(batches):
-        now, got, lp, base, known = None, [], None, None, None
+        now, lps, counts, lp, base, seen = None, [], [], None, None, None
         for b in batches:
             out = []
-            for batch, o, doc, held, x in zip(*(b.column(c).to_pylist() for c in ("batch", "o", "doc_id", "held_out", "data"))):
+            for batch, kind, doc, held, x in zip(*(b.column(c).to_pylist() for c in ("batch", "kind", "doc_id", "held_out", "data"))):
                 if batch != now:
-                    now, got, lp = batch, [], None
-                if o == 0:
-                    got.append(unpack(x))
-                    continue
-                if lp is None:
-                    n = np.concatenate([y["n"] for y in got]).astype(np.int64)
-                    start = np.concatenate([y["start"] for y in got]).astype(np.int64)
-                    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
-                    c = np.repeat(np.concatenate([y["c"] for y in got]), n)
-                    lp, base, known = np.zeros(len(place)), np.zeros(len(place)), np.zeros(len(place), bool)
-                    lp[place] = np.concatenate([y["lp"] for y in got])
-                    base[place] = np.log10(c + 1.0) - spread
-                    known[place] = c > 0
-                    got = []
-                i = np.frombuffer(x, "<u4")
-                out.append((doc, held, len(i), int(known[i].sum()), total, float(base[i].sum()), float(lp[i].sum())))
+                    now, lps, counts, lp = batch, [], [], None
+                if kind == 0:
+                    lps.append(x)
+                elif kind == 1:
+                    counts.append(unpack(x)["n"])
+                elif kind == 2:
+                    lp = np.frombuffer(b"".join(lps), "<f4").astype(float)
+                    c = np.concatenate(counts)[unpack(x)["w"]].astype(float)
+                    base, seen = np.log10(c + 1) - spread, c > 0
+                    lps, counts = [], []
+                else:
+                    i = np.frombuffer(x, "<u4")
+                    out.append((doc, held, len(i), int(seen[i].sum()), total, float(base[i].sum()), float(lp[i].sum())))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=[c.split()[0] for c in _SCORES.split(", ")])
+                yield make(*zip(*out))
 
     return rows.mapInArrow(run, _SCORES)
 
@@ -351,14 +630,62 @@ def scores(docs: DataFrame, batch_bytes: int = BATCH, seed: int = 5) -> DataFram
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), text_of(docs).alias("text"))
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4, -(-int(size) // batch_bytes))
-    counted = stored(_count(d, buckets, batch_bytes), "counted")
-    words = counted.where("bucket >= 0").select("bucket", "batch", "words")
-    merged = stored(_merge(words.repartition(buckets, "bucket").sortWithinPartitions("bucket", "batch")), "buckets")
-    g = _pass(merged, None, seed)
-    for i in range(PASSES):
-        g = _pass(merged, g, seed + 1 + i)
-    answers = _answers(merged, g, seed + 1 + PASSES)
-    return _score(answers, counted.where("bucket < 0"), g, buckets)
+    counted = stored(_count(d, batch_bytes), "counted")
+    unigrams = stored(_unigrams(counted, buckets), "unigrams")
+    tokens, known = _vocabulary(unigrams)
+    hot, parts = _hot(unigrams, max(tokens / buckets, 1.0))
+    bigrams = stored(_bigrams(counted, buckets, hot, parts), "bigrams")
+
+    level, none = Level(), (np.zeros(len(hot)), np.zeros(len(hot)))
+    level.hot = none
+    seated = stored(_seat(_joined(bigrams, None, None, buckets), level, buckets, seed, 0), "seated")
+    for i in range(PASSES + 1):
+        got = _collected(seated.where("kind is not null").select("kind", "i", "v"))
+        for k, kind in enumerate((_HOT_C, _HOT_T)):
+            for j, v in got[kind].items():
+                none[k][j] = v
+        seats = _seats(got[_SEATS])
+        if i:
+            level = Level(*draw_parameters(got[_TABLES], got[_CUSTOMERS], seats, np.random.default_rng([seed, i])), none)
+        else:
+            once, twice = (sum(v for (c, _), v in seats.items() if c == k) for k in (1, 2))
+            level = Level(float(np.clip(once / max(once + 2 * twice, 1), 0.05, 0.95)), 1.0, none)
+        parents = stored(_parents(seated.where("kind is null").select("bucket", "origin", "data"), unigrams, buckets), "parents")
+        root = _root(parents, known, seed + 10 * i)
+        if i < PASSES:
+            seated = stored(_seat(_joined(bigrams, parents, root, buckets), level, buckets, seed + 1 + i, SWEEPS), "seated")
+    answers = _answers(_joined(bigrams, parents, root, buckets, asks=True), level, seed + 1 + PASSES)
+    return _score(answers, counted, unigrams, tokens, known, buckets)
+
+
+def _vocabulary(unigrams: DataFrame) -> tuple[float, float]:
+    """Trained tokens and distinct trained words."""
+
+    def run(batches):
+        for b in batches:
+            for x in b.column("words").to_pylist():
+                n = unpack(x)["n"]
+                yield _told(_OTHER, np.array([0, 1]), np.array([n.sum(), (n > 0).sum()], float))
+
+    got = _collected(unigrams.where("words is not null").select("words").mapInArrow(run, _SUMS))[_OTHER]
+    return got.get(0, 0.0), got.get(1, 0.0)
+
+
+def _hot(unigrams: DataFrame, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts of more than `most` tokens, as 48-bit hashes in order, and how many buckets each should have."""
+    make = _rows("v bigint, n double")
+
+    def run(batches):
+        for b in batches:
+            for x in b.column("words").to_pylist():
+                x = unpack(x)
+                # a text has one start and one end, so the ends' number is the starts'
+                word, n = np.where(x["word"] == _END, _START, x["word"]) >> np.uint64(16), x["n"].astype(float)
+                yield make(word[n > most].astype(np.int64), n[n > most])
+
+    got = unigrams.where("words is not null").select("words").mapInArrow(run, "v bigint, n double").orderBy(F.desc("n"), "v").limit(HOT).collect()
+    got.sort()
+    return np.array([r[0] for r in got], np.uint64), np.array([math.ceil(r[1] / most) for r in got], np.uint64)
 
 
 def perplexity(scored: DataFrame, by: str = "held_out") -> DataFrame:

@@ -1,6 +1,7 @@
 import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from llm_data import SCHEMA
@@ -32,7 +33,7 @@ def test_base_and_counts_equal_brute_force(spark, rng):
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
     again = scores(spark.createDataFrame([(*r, None, None, 0) for r in rows], SCHEMA), batch_bytes=2000).collect()
-    assert len(again) == len(got)
+    assert sorted(map(str, again)) == sorted(map(str, got))
 
 
 def test_model_beats_the_base_on_unseen_texts(spark, rng):
@@ -53,16 +54,77 @@ def test_seating_draws_have_the_exact_distribution():
     assert big[0] == 1 and big[1] == 0 and 1 < big[2] < 5000
 
 
-def test_probabilities_sum_to_one(spark):
-    """Over the known words and one unknown one, after one context."""
-    rows = [(i, "x%d" % (i % 5)) for i in range(40)]
-    ask = [(1000 + i, w) for i, w in enumerate(["x0", "x1", "x2", "x3", "x4", "never"])]
-    ids = [i for i in range(2000, 4000) if held(i)][: len(ask)]
-    d = spark.createDataFrame(rows + [(j, w) for j, (_, w) in zip(ids, ask)] + [(ids[-1] + 0, "")], "doc_id bigint, text string")
-    got = {(r.doc_id, r.n_tokens): r for r in scores(d).collect()}
-    end = got[ids[-1], 1].score  # an end at the start of a text
-    first = sum(10 ** (got[j, 2].score) for j in ids)
-    assert 0 < first < 1 and math.isfinite(end)
+def unseen(n):
+    return [i for i in range(20_000, 40_000) if held(i)][:n]
+
+
+def test_probabilities_sum_to_one(rng):
+    """Of every context of a bucket, over its words, the rest of the vocabulary and one unknown word."""
+    from llm.hpylm import Level, Restaurants, Root
+
+    r = np.random.default_rng(3)
+    words, per = 50, r.integers(1, 20, 30)
+    w = np.concatenate([r.choice(words, k, replace=False) for k in per])
+    c = r.integers(0, 9, len(w))
+    c[np.cumsum(per) - 1] += 40
+    cu = np.bincount(w, weights=np.minimum(c, 1), minlength=words).astype(np.int64)
+    root = Root((cu > 0).sum(), 0.4, 3.0, float((cu > 0).sum()), 8)
+    root.C, root.T = float(cu.sum()), float(root.tables(0, cu).sum())
+    p = root.probabilities(0, cu)
+    assert abs(p[cu > 0].sum() + (root.strength + root.d * root.T) * root.uniform / (root.strength + root.C) - 1) < 1e-9
+    x = {"w": w, "c": c, "n": per, "hot": np.full(30, -1)}
+    s = Restaurants(x, p, Level(0.6, 2.5), r)
+    for _ in range(3):
+        s.sweep()
+        own, rest = s.predictive(), (s.strength + s.d * s.T) / (s.strength + s.C)
+        for k in range(30):
+            mine = slice(s.at[k], s.at[k + 1])
+            assert abs(own[mine].sum() + rest[k] * (1 - s.p[mine].sum()) - 1) < 1e-9
+    assert (s.t <= s.c).all() and (s.t >= np.minimum(s.c, 1)).all() and s.t.max() > 1
+
+
+def test_word_histories_count(spark, rng):
+    """Which word follows which decides between texts of the same words; a context of a third of all words is split, the result stays."""
+    pairs = {"a%d" % i: "b%d" % (i * 7 % 40) for i in range(40)}
+    rows = [(i, " ".join("%s %s the" % (k, pairs[k]) for k in rng.choices(list(pairs), k=20))) for i in range(300)]
+    good = [" ".join("%s %s the" % (k, pairs[k]) for k in rng.choices(list(pairs), k=20)) for _ in range(20)]
+    bad = []
+    for g in good:
+        w = g.split(" ")
+        b = w[1::3]
+        rng.shuffle(b)
+        w[1::3] = b
+        bad.append(" ".join(w))
+    ids = unseen(40)
+    d = spark.createDataFrame(rows + list(zip(ids, good + bad)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in scores(d, batch_bytes=4000).collect()}
+    for i in range(20):
+        g, b = got[ids[i]], got[ids[20 + i]]
+        assert g.score > b.score + 5 and abs(g.base_score - b.base_score) < 1e-6
+    assert all(r.score > r.base_score + 10 for r in (got[i] for i in ids[:20]))
+
+
+def test_parameters_come_back(rng):
+    """Discount and strength are found from seatings that were drawn with them."""
+    from llm.hpylm import draw_parameters
+
+    g = np.random.default_rng(4)
+    tables, customers, seats = Counter(), Counter(), Counter()
+    for _ in range(1500):
+        c, total = [], 0
+        for _ in range(30):
+            if g.random() < (2.0 + 0.7 * len(c)) / (2.0 + total):
+                c.append(1)
+            else:
+                k = g.choice(len(c), p=(np.array(c) - 0.7) / (total - 0.7 * len(c)))
+                c[k] += 1
+            total += 1
+        tables[len(c)] += 1
+        customers[total] += 1
+        for x in c:  # every table has a dish of its own
+            seats[x, 1] += 1
+    d, a = draw_parameters(tables, customers, seats, g)
+    assert abs(d - 0.7) <= 0.1 and 1 < a < 4
 
 
 def test_empty(spark):
