@@ -60,7 +60,15 @@ def stored(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
     df.write.option("compression", compression).parquet(path)
     # the shuffles behind df are not needed any more; Spark deletes their files once the driver's JVM has seen that
     spark._jvm.java.lang.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that stored() gave, once what was made of them is stored itself."""
+    for t in tables:
+        remove(t.sparkSession, t._stored_at)
 
 
 def keyed(docs: DataFrame, *, th: str = "_th") -> DataFrame:

@@ -33,9 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, byte_slices, mix64, stored, text_of, trim, word_hash, word_spans
+from .common import SPACED, byte_slices, discard, mix64, stored, text_of, trim, word_hash, word_spans
 
 BATCH, EXACT, PASSES, SWEEPS, SAMPLES, HOT = 8_000_000, 32, 1, 2, 3, 10_000
+#: Log probabilities of pairs travel in steps of one part in so many: an error of 0.000004 a token at most.
+STEPS = 1 << 17
 FOLDS, HELD = 7, 2
 _END, _START = np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 
@@ -79,6 +81,19 @@ def _unsix(b: np.ndarray) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _squeezed(x: np.ndarray) -> np.ndarray:
+    """32-bit numbers, byte by byte of all of them, compressed: what moves and what is stored is a half to a third of it."""
+    raw = np.ascontiguousarray(np.ascontiguousarray(x.astype("<u4")).view(np.uint8).reshape(-1, 4).T)
+    return np.frombuffer(struct.pack("<Q", len(x)) + pa.compress(raw, codec="zstd", asbytes=True), np.uint8)
+
+
+def _loose(b) -> np.ndarray:
+    b = memoryview(b)
+    n = struct.unpack("<Q", b[:8])[0]
+    raw = np.frombuffer(pa.decompress(b[8:], decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
+
+
 def _share(x: np.ndarray, buckets: int) -> np.ndarray:
     """The bucket of 48-bit hashes: rising with the hash, so the words of a bucket stand together in sorted order."""
     return ((x >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -100,11 +115,11 @@ def _rows(schema: str):
     return make
 
 
-_COUNTED = "batch bigint, words binary, pairs binary, place binary, doc_id bigint, held_out boolean, ids binary"
+_COUNTED = "batch bigint, words binary, pairs binary, place binary, docs binary"
 
 
 def _count(docs: DataFrame, batch_bytes: int) -> DataFrame:
-    """Rows of two kinds: a batch's words, its pairs (context, trained count) and the pairs' words; a document's tokens as numbers of pairs."""
+    """Rows of two kinds: a batch's words and how many followers each has, the trained counts of the pairs, their second words; documents with their tokens as numbers of words."""
     make = _rows(_COUNTED)
 
     def run(batches):
@@ -130,15 +145,17 @@ def _count(docs: DataFrame, batch_bytes: int) -> DataFrame:
             before[ends - n] = start
             pair, num = np.unique(before << 32 | inv, return_inverse=True)
             cnt = np.bincount(num, weights=np.repeat(~out_of, n), minlength=len(pair)).astype(np.uint32)
-            v = (pair >> 32).astype(np.int64)
-            runs = np.bincount(v, minlength=len(word)).astype(np.uint32)
-            yield make([batch], [pack(word=word, runs=runs)], [pack(c=cnt)], [pack(w=(pair & 0xFFFFFFFF).astype(np.uint32))], [None], [None], [None])
-            num = num.astype("<u4")
+            del num, before
+            runs = np.bincount((pair >> 32).astype(np.int64), minlength=len(word)).astype(np.uint32)
+            w = _squeezed((pair & 0xFFFFFFFF).astype(np.uint32)).tobytes()
+            yield make([batch], [pack(word=word, runs=_squeezed(runs), start=np.array([start], np.uint32))], [_squeezed(cnt).tobytes()], [w], [None])
+            del pair
+            inv, none = inv.astype(np.uint32), np.array([x is None for x in ids])
+            doc = np.array([0 if x is None else x for x in ids], np.int64)
             for i in range(0, len(n), 200):
-                k = range(i, min(i + 200, len(n)))
-                none = [None] * len(k)
-                yield make([batch] * len(k), none, none, none, [ids[j] for j in k], out_of[k.start : k.stop], [num[ends[j] - n[j] : ends[j]].tobytes() for j in k])
-            del pair, num
+                k = slice(i, i + 200)
+                yield make([batch], [None], [None], [None], [pack(doc=doc[k], none=none[k], held=out_of[k], n=n[k].astype(np.uint32), tok=_squeezed(inv[ends[i] - n[i] : ends[min(i + 200, len(n)) - 1]]))])
+            del inv
             trim()
 
         for b in batches:
@@ -186,21 +203,21 @@ def _unigrams(counted: DataFrame, buckets: int) -> DataFrame:
     def split(batches):
         for b in batches:
             for batch, x, c, w in zip(*(b.column(k).to_pylist() for k in ("batch", "words", "pairs", "place"))):
-                word, w = unpack(x)["word"], unpack(w)["w"]
-                n = np.bincount(w, weights=unpack(c)["c"], minlength=len(word)).astype(np.uint32)
+                word = unpack(x)["word"]
+                n = np.bincount(_loose(w), weights=_loose(c), minlength=len(word)).astype(np.uint32)
                 bucket = _share(word >> np.uint64(16), buckets)
                 cut = _cuts(bucket)
                 for i, j in zip(cut[:-1], cut[1:]):
-                    yield make([int(bucket[i])], [batch], [i], [pack(word=word[i:j], n=n[i:j])])
+                    yield make([int(bucket[i])], [batch], [i], [pack(word=word[i:j], n=_squeezed(n[i:j]))])
 
     def merge(bucket, rows):
         word, inv = np.unique(np.concatenate([x["word"] for *_, x in rows]), return_inverse=True)
-        n = np.bincount(inv, weights=np.concatenate([x["n"] for *_, x in rows])).astype(np.int64)
+        n = np.bincount(inv, weights=np.concatenate([_loose(x["n"]) for *_, x in rows])).astype(np.int64)
         yield out([bucket], [pack(word=word, n=n)], [None], [None], [None])
         at = 0
         for batch, start, x in rows:
             k = len(x["word"])
-            yield out([bucket], [None], [batch], [start], [pack(n=n[inv[at : at + k]].astype(np.uint32))])
+            yield out([bucket], [None], [batch], [start], [_squeezed(n[inv[at : at + k]]).tobytes()])
             at += k
 
     rows = counted.where("words is not null").select("batch", "words", "pairs", "place").mapInArrow(split, schema)
@@ -220,9 +237,9 @@ def _bigrams(counted: DataFrame, buckets: int, hot: np.ndarray, parts: np.ndarra
     def split(batches):
         for b in batches:
             for batch, x, c, w in zip(*(b.column(k).to_pylist() for k in ("batch", "words", "pairs", "place"))):
-                x, c, w = unpack(x), unpack(c)["c"], unpack(w)["w"]
+                x, c, w = unpack(x), _loose(c), _loose(w)
                 word = x["word"] >> np.uint64(16)
-                runs = x["runs"].astype(np.int64)
+                runs = _loose(x["runs"]).astype(np.int64)
                 v, w = np.repeat(word, runs), word[w]
                 bucket = _share(v, buckets)
                 if len(hot):
@@ -233,19 +250,19 @@ def _bigrams(counted: DataFrame, buckets: int, hot: np.ndarray, parts: np.ndarra
                 cut = _cuts(bucket)
                 for i, j in zip(cut[:-1], cut[1:]):
                     k = _cuts(v[i:j])
-                    yield make([int(bucket[i])], [batch], [i], [pack(v=_six(v[i:j][k[:-1]]), n=np.diff(k).astype(np.uint32), w=_six(w[i:j]), c=c[i:j])])
+                    yield make([int(bucket[i])], [batch], [i], [pack(v=_six(v[i:j][k[:-1]]), n=_squeezed(np.diff(k)), w=_six(w[i:j]), c=_squeezed(c[i:j]))])
                 del x, c, w, v, word, bucket
                 trim()
 
     def merge(bucket, rows):
-        v = np.concatenate([np.repeat(_unsix(x["v"]), x["n"]) for *_, x in rows])
+        v = np.concatenate([np.repeat(_unsix(x["v"]), _loose(x["n"])) for *_, x in rows])
         w = np.concatenate([_unsix(x["w"]) for *_, x in rows])
         order = np.lexsort((w, v))
         v, w = v[order], w[order]
         new = np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])])
         inv = np.empty(len(v), np.uint32)
         inv[order] = (np.cumsum(new) - 1).astype(np.uint32)
-        c = np.bincount(inv, weights=np.concatenate([x["c"] for *_, x in rows])).astype(np.uint32)
+        c = np.bincount(inv, weights=np.concatenate([_loose(x["c"]) for *_, x in rows])).astype(np.uint32)
         v, w = v[new], w[new]
         del order, new
         word, num = np.unique(w, return_inverse=True)
@@ -254,11 +271,12 @@ def _bigrams(counted: DataFrame, buckets: int, hot: np.ndarray, parts: np.ndarra
         if len(hot):
             i = np.minimum(np.searchsorted(hot, v[cut[:-1]]), len(hot) - 1)
             who = np.where(hot[i] == v[cut[:-1]], i, -1).astype(np.int32)
-        yield out([bucket], [pack(n=np.diff(cut).astype(np.uint32), hot=who, w=num.astype(np.uint32), c=c)], [_six(word).tobytes()], [None], [None], [None])
+        yield out([bucket], [pack(n=_squeezed(np.diff(cut)), hot=_squeezed(who + 1), w=_squeezed(num), c=_squeezed(c))], [_six(word).tobytes()], [None], [None], [None])
         at = 0
         for batch, start, x in rows:
-            k = len(x["c"])
-            yield out([bucket], [None], [None], [batch], [start], [inv[at : at + k].tobytes()])
+            k = len(x["w"]) // 6
+            # the pairs of a slice are in order, so steps between them are small
+            yield out([bucket], [None], [None], [batch], [start], [_squeezed(np.diff(inv[at : at + k].astype(np.int64), prepend=0)).tobytes()])
             at += k
 
     rows = counted.where("words is not null").select("batch", "words", "pairs", "place").mapInArrow(split, schema)
@@ -437,7 +455,7 @@ def _joined(bigrams: DataFrame, parents: DataFrame | None, root: Root | None, bu
                     if x is not None:
                         p = root.probabilities(k, unpack(x)["c"]).astype("<f4")
                     else:
-                        yield made([origin], [k], [p[np.frombuffer(place, "<u4")].tobytes()])
+                        yield made([origin], [k], [p[np.cumsum(_loose(place))].tobytes()])
 
         # a word bucket's own row, without an origin, comes before those that ask it
         p = parents.repartition(buckets, "bucket").sortWithinPartitions("bucket", "origin").mapInArrow(answer, "bucket int, origin int, p binary")
@@ -448,6 +466,11 @@ def _joined(bigrams: DataFrame, parents: DataFrame | None, root: Root | None, bu
     return all_.repartition(buckets, "bucket").sortWithinPartitions("bucket", "origin", "batch", "start")
 
 
+def _opened(pairs: bytes) -> dict[str, np.ndarray]:
+    x = {k: _loose(v) for k, v in unpack(pairs).items()}
+    return x | {"hot": x["hot"].astype(np.int64) - 1}
+
+
 def _assembled(batches):
     """(bucket, pairs, words, p, None) of each bucket, then (batch, start, asks) of each that asks it."""
     own, got = None, []
@@ -458,7 +481,7 @@ def _assembled(batches):
                 continue
             if own is not None:
                 yield (*own, np.frombuffer(b"".join(got), "<f4").astype(float) if got else None), None
-            own, got = ((k, unpack(x), np.frombuffer(words, np.uint8)), []) if x is not None else (None, [])
+            own, got = ((k, _opened(x), np.frombuffer(words, np.uint8)), []) if x is not None else (None, [])
             if x is None:
                 yield None, (batch, start, asks)
     if own is not None:
@@ -482,7 +505,7 @@ def _seat(joined: DataFrame, level: Level, buckets: int, seed: int, sweeps: int)
             of = _share(word, buckets)
             cut = _cuts(of)
             for i, j in zip(cut[:-1], cut[1:]):
-                yield make([int(of[i])], [k], [pack(w=_six(word[i:j]), t=t[i:j])], [None], [None], [None])
+                yield make([int(of[i])], [k], [pack(w=_six(word[i:j]), t=_squeezed(t[i:j]))], [None], [None], [None])
             for told in s.told():
                 none = [None] * told.num_rows
                 yield make(none, none, none, *told.columns)
@@ -505,11 +528,11 @@ def _parents(up: DataFrame, unigrams: DataFrame, buckets: int) -> DataFrame:
         places = []
         for origin, x in rows[1:]:
             i = np.searchsorted(word, _unsix(x["w"]))
-            c += np.bincount(i, weights=x["t"], minlength=len(word)).astype(np.int64)
-            places.append((origin, i.astype("<u4")))
+            c += np.bincount(i, weights=_loose(x["t"]), minlength=len(word)).astype(np.int64)
+            places.append((origin, _squeezed(np.diff(i, prepend=0)).tobytes()))
         yield out([bucket], [pack(c=c)], [None], [None])
         for origin, i in places:
-            yield out([bucket], [None], [origin], [i.tobytes()])
+            yield out([bucket], [None], [origin], [i])
 
     return _by_key(own.unionByName(up), "bucket", ["origin"], _PARENTS, merge, buckets)
 
@@ -562,7 +585,7 @@ _SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, tra
 
 
 def _answers(joined: DataFrame, level: Level, seed: int) -> DataFrame:
-    """The averaged log10 probabilities of a batch's pairs from `start` on."""
+    """The averaged log10 probabilities of a batch's pairs from `start` on, in steps of 1 / STEPS."""
     make = _rows(_ANSWERS)
 
     def run(batches):
@@ -576,51 +599,69 @@ def _answers(joined: DataFrame, level: Level, seed: int) -> DataFrame:
                     s.sweep()
                     if r >= SWEEPS:
                         total += s.predictive()
-                lp = np.log10(total / SAMPLES).astype("<f4")
+                lp = np.rint(np.minimum(-np.log10(total / SAMPLES), 15.9) * STEPS).astype("<u4")
                 del s, total
                 trim()
             else:
                 batch, start, asks = ask
-                yield make([batch], [0], [start], [lp[np.frombuffer(asks, "<u4")].tobytes()])
+                yield make([batch], [0], [start], [_squeezed(lp[np.cumsum(_loose(asks))]).tobytes()])
 
     return joined.mapInArrow(run, _ANSWERS)
 
 
 def _score(answers: DataFrame, counted: DataFrame, unigrams: DataFrame, tokens: float, known: float, parts: int) -> DataFrame:
-    null, zero = F.lit(None), F.lit(0).cast("bigint")
-    plain = lambda df: df.select("batch", "kind", "start", "data", null.cast("bigint").alias("doc_id"), null.cast("boolean").alias("held_out"))
-    rows = plain(answers)
-    rows = rows.unionByName(plain(unigrams.where("counts is not null").select("batch", F.lit(1).alias("kind"), "start", F.col("counts").alias("data"))))
-    rows = rows.unionByName(plain(counted.where("words is not null").select("batch", F.lit(2).alias("kind"), zero.alias("start"), F.col("place").alias("data"))))
-    rows = rows.unionByName(counted.where("words is null").select("batch", F.lit(3).alias("kind"), zero.alias("start"), F.col("ids").alias("data"), "doc_id", "held_out"))
+    null, zero = F.lit(None).cast("binary").alias("more"), F.lit(0).cast("bigint")
+    rows = answers.select("batch", "kind", "start", "data", null)
+    rows = rows.unionByName(unigrams.where("counts is not null").select("batch", F.lit(1).alias("kind"), "start", F.col("counts").alias("data"), null))
+    own = counted.where("words is not null").select("batch", "words", "place").mapInArrow(_slim, "batch bigint, data binary, more binary")
+    rows = rows.unionByName(own.select("batch", F.lit(2).alias("kind"), zero.alias("start"), "data", "more"))
+    rows = rows.unionByName(counted.where("docs is not null").select("batch", F.lit(3).alias("kind"), zero.alias("start"), F.col("docs").alias("data"), null))
     rows = rows.repartition(parts, "batch").sortWithinPartitions("batch", "kind", "start")
     total, spread, make = int(tokens), np.log10(tokens + known + 1), _rows(_SCORES)
 
     def run(batches):
-        now, lps, counts, lp, base, seen = None, [], [], None, None, None
+        now, lps, counts, lp = None, [], [], None
         for b in batches:
-            out = []
-            for batch, kind, doc, held, x in zip(*(b.column(c).to_pylist() for c in ("batch", "kind", "doc_id", "held_out", "data"))):
+            for batch, kind, x, more in zip(*(b.column(c).to_pylist() for c in ("batch", "kind", "data", "more"))):
                 if batch != now:
-                    now, lps, counts, lp = batch, [], [], None
+                    now, lps, counts = batch, [], []
                 if kind == 0:
-                    lps.append(x)
+                    lps.append(_loose(x))
                 elif kind == 1:
-                    counts.append(unpack(x)["n"])
+                    counts.append(_loose(x))
                 elif kind == 2:
-                    lp = np.frombuffer(b"".join(lps), "<f4").astype(float)
-                    c = np.concatenate(counts)[unpack(x)["w"]].astype(float)
+                    lp = np.concatenate(lps) / -float(STEPS)
+                    c = np.concatenate(counts).astype(float)
                     base, seen = np.log10(c + 1) - spread, c > 0
+                    x = unpack(x)
+                    runs = _loose(x["runs"])
+                    pair = np.repeat(np.arange(len(runs)), runs) << 32 | _loose(more).astype(np.int64)
                     lps, counts = [], []
                 else:
-                    i = np.frombuffer(x, "<u4")
-                    out.append((doc, held, len(i), int(seen[i].sum()), total, float(base[i].sum()), float(lp[i].sum())))
-            if out:
-                yield make(*zip(*out))
+                    d = unpack(x)
+                    tok, n = _loose(d["tok"]).astype(np.int64), d["n"].astype(np.int64)
+                    ends = np.cumsum(n)
+                    before = np.concatenate([[0], tok[:-1]])
+                    before[ends - n] = start
+                    at = np.searchsorted(pair, before << 32 | tok)
+                    sums = [np.add.reduceat(v, ends - n) for v in (seen[tok].astype(np.int64), base[tok], lp[at])]
+                    k = len(n)
+                    yield make([None if z else int(i) for i, z in zip(d["doc"], d["none"])], d["held"], n, sums[0], [total] * k, sums[1], sums[2])
+                if kind == 2:
+                    start = int(x["start"][0])
 
     return rows.mapInArrow(run, _SCORES)
 
 
+def _slim(batches):
+    """A batch's numbers of followers and the pairs' second words, without the words themselves."""
+    make = _rows("batch bigint, data binary, more binary")
+    for b in batches:
+        for batch, x, w in zip(*(b.column(c).to_pylist() for c in ("batch", "words", "place"))):
+            x = unpack(x)
+            yield make([batch], [pack(runs=x["runs"], start=x["start"])], [w])
+
+
 def held_out():
     return F.coalesce(F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")), F.lit(FOLDS)) == HELD, F.lit(False))
 
@@ -650,11 +691,14 @@ def scores(docs: DataFrame, batch_bytes: int = BATCH, seed: int = 5) -> DataFram
         else:
             once, twice = (sum(v for (c, _), v in seats.items() if c == k) for k in (1, 2))
             level = Level(float(np.clip(once / max(once + 2 * twice, 1), 0.05, 0.95)), 1.0, none)
+        gone = [] if i == 0 else [parents]
         parents = stored(_parents(seated.where("kind is null").select("bucket", "origin", "data"), unigrams, buckets), "parents")
         root = _root(parents, known, seed + 10 * i)
+        discard(seated, *gone)
         if i < PASSES:
             seated = stored(_seat(_joined(bigrams, parents, root, buckets), level, buckets, seed + 1 + i, SWEEPS), "seated")
-    answers = _answers(_joined(bigrams, parents, root, buckets, asks=True), level, seed + 1 + PASSES)
+    answers = stored(_answers(_joined(bigrams, parents, root, buckets, asks=True), level, seed + 1 + PASSES), "answers")
+    discard(bigrams, parents)
     return _score(answers, counted, unigrams, tokens, known, buckets)
 
 
