@@ -24,6 +24,8 @@ from .common import LETTERS, byte_slices, mix64, text_of, word_hash, word_spans
 #: Fixed masks: 1 counts, 0 may be substituted.
 MASKS = ("11101011", "110110011", "1100101101", "1010011101", "1111", "111011")
 MIN_WORDS, LEAST_ITEM, IDENTITY = 13, 5, 0.8
+#: Seeds that are looked at together.
+_SEEDS = 1_000_000
 HITS = "doc_id bigint, item_id bigint, n_words int, n_equal int, identity double, doc_first int, item_first int, item_words int"
 
 
@@ -86,7 +88,9 @@ class Seeds:
         if not len(w) or not self.masks:
             return []
         doc = np.repeat(np.arange(len(offs) - 1), np.diff(first))
-        hits = []
+        # a text laid on an item at one offset is one number, however many seeds agree there
+        span = len(w) + max(len(x) for _, x in self.items) + 1
+        found = np.zeros(0, np.int64)
         for mask, (h, it, at, bits) in self.masks.items():
             x = _seed(w, mask)
             c = np.flatnonzero(bits[(x >> np.uint64(44)).astype(np.int64)])
@@ -94,16 +98,19 @@ class Seeds:
                 continue
             c = c[doc[c] == doc[c + len(mask) - 1]]
             lo, hi = np.searchsorted(h, x[c], "left"), np.searchsorted(h, x[c], "right")
-            n = hi - lo
-            if not n.sum():
-                continue
-            where = np.repeat(c, n)
-            entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-            hits.append(np.stack([doc[where], it[entry], where - at[entry]], 1))
-        if not hits:
-            return []
+            c, lo, n = c[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            upto, i = np.cumsum(n), 0
+            while i < len(c):  # texts and items of a few words again and again have very many seeds in common
+                j = max(i + 1, int(np.searchsorted(upto, upto[i] - n[i] + _SEEDS, "right")))
+                k = n[i:j]
+                entry = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(lo[i:j], k)
+                where = np.repeat(c[i:j], k)
+                code = (doc[where] * len(self.items) + it[entry]) * span + where - at[entry] + span - len(w)
+                found = np.union1d(found, code)
+                i = j
         best: dict[tuple[int, int], tuple] = {}
-        for d, k, diag in np.unique(np.concatenate(hits), axis=0).tolist():
+        for code in found.tolist():
+            d, k, diag = code // span // len(self.items), code // span % len(self.items), code % span - span + len(w)
             item = self.items[k][1]
             a, b = max(diag, int(first[d])), min(diag + len(item), int(first[d + 1]))
             eq = w[a:b] == item[a - diag : b - diag]

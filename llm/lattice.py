@@ -6,8 +6,12 @@ neighbouring cells are the lattice points along the minimal vectors that the res
 candidate if one's home is the other's home or among its neighbours, and a link if its cosine in double precision
 reaches COSINE. Components of the links are the classes.
 
-Only rows with equal labels meet; null labels, null ids, null, empty or zero vectors and vectors with null or
-non-finite components link with nothing. Vectors of different length never meet. Rows that repeat an id are one
+Vectors that are equal, label included, are one while links are sought: thousands of copies cost one search, and their
+links are counted, not listed. (Where an id has several vectors, nothing is folded.)
+
+Only rows with equal labels meet; labels are whole numbers, other text is no label. Null labels, null ids, null, empty
+or zero vectors, vectors with null or non-finite components and such whose length in double precision is 0 or infinite
+link with nothing. Vectors of different length never meet. Rows that repeat an id are one
 vector for the links and are all returned. Every home and neighbour row is 24 bytes; vectors travel only for
 candidate pairs. A cell that holds a third of all rows is split by the adaptive join, both sides by a salt.
 Empty tables give no rows. Other columns are ignored; names needn't differ from those used here.
@@ -109,8 +113,9 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     """id, v, label of the rows that can link."""
     v = F.col(vec_col).cast("array<double>")
     ok = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    d = vectors.select(F.col(id_col).cast("bigint").alias("id"), v.alias("v"), F.col(label_col).cast("bigint").alias("label"))
-    return d.where("id is not null and v is not null and label is not null").where(ok)
+    d = vectors.select(F.col(id_col).cast("bigint").alias("id"), v.alias("v"), F.col(label_col).try_cast("bigint").alias("label"))
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    return d.where("id is not null and v is not null and label is not null").where(ok).where((square > 0) & (square < float("inf")))
 
 
 def links(vectors: DataFrame, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, cosine: float = COSINE, seed: int = 11) -> DataFrame:
@@ -138,14 +143,37 @@ def links(vectors: DataFrame, tables: int = TABLES, probes: int = PROBES, scale:
     return rows.mapInArrow(verify, "a bigint, b bigint, cosine double").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
 
 
+def _folded(d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(representatives (id, v, label) with n, the number of ids that have the vector; (id, rep) of all ids)."""
+    h = d.select("id", "label", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(5), "v").alias("h2"), F.size("v").alias("n"))
+    same = ["label", "h1", "h2", "n"]
+    ids = h.select("id", *same).distinct()
+    rep = stored(ids.groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("count")), "vectors")
+    # a vector that many rows share meets its representative by a join on the hash, whose other side is one row
+    at = stored(ids.join(rep, same).select("id", "rep"), "folded")
+    vectors = d.join(rep.select(F.col("rep").alias("id"), F.col("count").alias("n")), "id").dropDuplicates(["id"])
+    return vectors, at
+
+
 def classes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", **options) -> DataFrame:
     """Per row of vectors: id, n_links, component_id, kept."""
-    e = stored(links(usable(vectors, id_col, vec_col, label_col), **options), "links")
-    n = e.select(F.col("a").alias("node")).unionAll(e.select("b")).groupBy("node").agg(F.count("*").alias("n"))
+    d = usable(vectors, id_col, vec_col, label_col)
+    one, at = _folded(d)
+    if at.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").isEmpty():
+        one = stored(one, "representatives")
+    else:
+        one, at = stored(d.withColumn("n", F.lit(1).cast("bigint")), "representatives"), d.select("id", F.col("id").alias("rep")).distinct()
+    e = stored(links(one, **options), "links")
+    size = one.select("id", "n").distinct()
+    both = e.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(e.select("b", "a"))
+    n = both.join(size.withColumnRenamed("id", "other"), "other").groupBy("node").agg(F.sum("n").alias("far"))
     c = components(e)
-    d = vectors.select(F.col(id_col).cast("bigint").alias("node")).join(n, "node", "left").join(c, "node", "left")
+    rep = size.withColumnRenamed("id", "node").join(n, "node", "left").join(c, "node", "left")
+    rep = rep.select(F.col("node").alias("rep"), (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    told = at.join(rep, "rep").select(F.col("id").alias("node"), "n_links", "component")
+    r = vectors.select(F.col(id_col).cast("bigint").alias("node")).join(told, "node", "left")
     comp = F.coalesce("component", "node")
-    return d.select(F.col("node").alias(id_col), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), comp.alias("component_id"), F.coalesce(comp == F.col("node"), F.lit(True)).alias("kept"))
+    return r.select(F.col("node").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), comp.alias("component_id"), F.coalesce(comp == F.col("node"), F.lit(True)).alias("kept"))
 
 
 def dedup(vectors: DataFrame, id_col: str = "vec_id", **options) -> DataFrame:

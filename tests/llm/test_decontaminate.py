@@ -72,3 +72,11 @@ def test_changed_words_at_any_place(spark, rng):
     got = overlaps(x, b).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i, _ in items}
     assert all(r.n_equal >= 0.8 * r.n_words - 1e-9 and r.n_words >= min(13, r.item_words) for r in got)
+
+
+def test_words_again_and_again(spark):
+    """One word a hundred thousand times against an item of that word: found, in bounded memory and time."""
+    docs = spark.createDataFrame([(1, "la " * 20_000), (2, "la lo " * 5_000), (3, "other words here " * 9)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(7, "la " * 300), (8, "lo la " * 20)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.n_words for r in overlaps(docs, bench).collect()}
+    assert got == {(1, 7): 300, (2, 8): 40}

@@ -53,3 +53,18 @@ def test_unusable_vectors_link_with_nothing(spark):
     assert {r.vec_id: r.n_links for r in got if r.n_links} == {1: 1, 10: 1}
     assert {r.component_id for r in got if r.vec_id == 10} == {1}
     assert classes(df.limit(0)).count() == 0
+
+
+def test_copies_are_folded(spark):
+    """A thousand equal vectors link with each other and with their near neighbour, without a row a pair; labels of text link with nothing."""
+    from llm.lattice import _folded, usable
+
+    v, near = [1.0, 0.2, 0.1, 0.0, 0.5, 0.3, 0.2, 0.9], [1.0, 0.2, 0.1, 0.01, 0.5, 0.3, 0.2, 0.9]
+    rows = [(i, v, "3") for i in range(10, 1010)] + [(5, near, "3"), (3, v, "x"), (4, v, None), (2000, [1e200] * 8, "3"), (2001, [1e-200] * 8, "3")]
+    d = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in classes(d).collect()}
+    assert got[10] == (1000, 5, False) and got[5] == (1000, 5, True) and got[1009] == (1000, 5, False)
+    assert all(got[i] == (0, i, True) for i in (3, 4, 2000, 2001))
+    assert _folded(usable(d))[0].count() == 2
+    twice = spark.createDataFrame([(1, v, 3), (1, near, 3), (2, v, 3)], "vec_id bigint, embedding array<double>, label bigint")
+    assert {(r.vec_id, r.n_links, r.component_id) for r in classes(twice).collect()} == {(1, 1, 1), (2, 1, 1)}
