@@ -71,6 +71,18 @@ def discard(*tables: DataFrame) -> None:
         remove(t.sparkSession, t._stored_at)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of so many rows while the block runs, for jobs whose rows are megabytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def keyed(docs: DataFrame, *, th: str = "_th") -> DataFrame:
     """Adds _th, the hash of the text. (doc_id, _th) names a document: equal rows are one document, equal ids with other texts are not."""
     return docs.withColumn(th, F.xxhash64(F.coalesce("text", F.lit(""))))

@@ -12,8 +12,8 @@ strength of both levels are drawn from their posterior on a grid, given the numb
 customers tell nothing of the discount).
 
 Where things are: texts are counted in batches of about BATCH bytes. A batch sends its (context, word) pairs to the
-context's bucket; a bucket has whole restaurants, so their totals are at hand. A context with more tokens than a bucket
-should have is split over buckets by its words, and its totals are summed over them (frozen during a pass, so its
+context's bucket; a bucket has whole restaurants, so their totals are at hand. A context with more tokens than a quarter
+of a bucket's share is split over buckets by its words, and its totals are summed over them (frozen during a pass, so its
 probabilities sum to one only nearly; no more than HOT contexts are split). Words have buckets of their own, where the
 unigram restaurant is seated. All counts are merged in sorted arrays, nothing of the corpus meets on the driver but
 totals, and no vocabulary is broadcast. A word is known by 64 bits of its hash, as a context and in a context by 48.
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, byte_slices, discard, mix64, stored, text_of, trim, word_hash, word_spans
+from .common import SPACED, batches_of, byte_slices, discard, mix64, stored, text_of, trim, word_hash, word_spans
 
 BATCH, EXACT, PASSES, SWEEPS, SAMPLES, HOT = 8_000_000, 32, 1, 2, 3, 10_000
 #: Log probabilities of pairs travel in steps of one part in so many: an error of 0.000004 a token at most.
@@ -309,8 +309,8 @@ def draw_tables(c: np.ndarray, a: np.ndarray, d: float, stirling: np.ndarray, rn
         if i == j:
             continue
         who = order[i:j]
-        for at in range(0, len(who), 200_000):
-            w = who[at : at + 200_000]
+        for at in range(0, len(who), 20_000):
+            w = who[at : at + 20_000]
             x = stirling[k, 1 : k + 1] + la[w, None] * np.arange(1, k + 1) + rng.gumbel(size=(len(w), k))
             t[w] = x.argmax(1) + 1
     big = np.flatnonzero(c > most)
@@ -672,33 +672,34 @@ def scores(docs: DataFrame, batch_bytes: int = BATCH, seed: int = 5) -> DataFram
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4, -(-int(size) // batch_bytes))
     counted = stored(_count(d, batch_bytes), "counted")
-    unigrams = stored(_unigrams(counted, buckets), "unigrams")
-    tokens, known = _vocabulary(unigrams)
-    hot, parts = _hot(unigrams, max(tokens / buckets, 1.0))
-    bigrams = stored(_bigrams(counted, buckets, hot, parts), "bigrams")
-
-    level, none = Level(), (np.zeros(len(hot)), np.zeros(len(hot)))
-    level.hot = none
-    seated = stored(_seat(_joined(bigrams, None, None, buckets), level, buckets, seed, 0), "seated")
-    for i in range(PASSES + 1):
-        got = _collected(seated.where("kind is not null").select("kind", "i", "v"))
-        for k, kind in enumerate((_HOT_C, _HOT_T)):
-            for j, v in got[kind].items():
-                none[k][j] = v
-        seats = _seats(got[_SEATS])
-        if i:
-            level = Level(*draw_parameters(got[_TABLES], got[_CUSTOMERS], seats, np.random.default_rng([seed, i])), none)
-        else:
-            once, twice = (sum(v for (c, _), v in seats.items() if c == k) for k in (1, 2))
-            level = Level(float(np.clip(once / max(once + 2 * twice, 1), 0.05, 0.95)), 1.0, none)
-        gone = [] if i == 0 else [parents]
-        parents = stored(_parents(seated.where("kind is null").select("bucket", "origin", "data"), unigrams, buckets), "parents")
-        root = _root(parents, known, seed + 10 * i)
-        discard(seated, *gone)
-        if i < PASSES:
-            seated = stored(_seat(_joined(bigrams, parents, root, buckets), level, buckets, seed + 1 + i, SWEEPS), "seated")
-    answers = stored(_answers(_joined(bigrams, parents, root, buckets, asks=True), level, seed + 1 + PASSES), "answers")
-    discard(bigrams, parents)
+    with batches_of(docs.sparkSession, 8):  # rows are megabytes
+        unigrams = stored(_unigrams(counted, buckets), "unigrams")
+        tokens, known = _vocabulary(unigrams)
+        hot, parts = _hot(unigrams, max(tokens / buckets / 4, 1.0))
+        bigrams = stored(_bigrams(counted, buckets, hot, parts), "bigrams")
+
+        level, none = Level(), (np.zeros(len(hot)), np.zeros(len(hot)))
+        level.hot = none
+        seated = stored(_seat(_joined(bigrams, None, None, buckets), level, buckets, seed, 0), "seated")
+        for i in range(PASSES + 1):
+            got = _collected(seated.where("kind is not null").select("kind", "i", "v"))
+            for k, kind in enumerate((_HOT_C, _HOT_T)):
+                for j, v in got[kind].items():
+                    none[k][j] = v
+            seats = _seats(got[_SEATS])
+            if i:
+                level = Level(*draw_parameters(got[_TABLES], got[_CUSTOMERS], seats, np.random.default_rng([seed, i])), none)
+            else:
+                once, twice = (sum(v for (c, _), v in seats.items() if c == k) for k in (1, 2))
+                level = Level(float(np.clip(once / max(once + 2 * twice, 1), 0.05, 0.95)), 1.0, none)
+            gone = [] if i == 0 else [parents]
+            parents = stored(_parents(seated.where("kind is null").select("bucket", "origin", "data"), unigrams, buckets), "parents")
+            root = _root(parents, known, seed + 10 * i)
+            discard(seated, *gone)
+            if i < PASSES:
+                seated = stored(_seat(_joined(bigrams, parents, root, buckets), level, buckets, seed + 1 + i, SWEEPS), "seated")
+        answers = stored(_answers(_joined(bigrams, parents, root, buckets, asks=True), level, seed + 1 + PASSES), "answers")
+        discard(bigrams, parents)
     return _score(answers, counted, unigrams, tokens, known, buckets)
 
 
