@@ -57,8 +57,10 @@ def stored(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = folder(spark, what)
+    # the shuffles behind a stored table are not needed any more; Spark deletes their files once the driver's JVM has
+    # seen that, which it can do when the events of the job that wrote it have passed: so before the next one, too
+    spark._jvm.java.lang.System.gc()
     df.write.option("compression", compression).parquet(path)
-    # the shuffles behind df are not needed any more; Spark deletes their files once the driver's JVM has seen that
     spark._jvm.java.lang.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACED, batches_of, byte_slices, discard, mix64, stored, text_of, trim, word_hash, word_spans
 
-BATCH, EXACT, PASSES, SWEEPS, SAMPLES, HOT = 8_000_000, 32, 1, 2, 3, 10_000
+BATCH, BUCKET, EXACT, PASSES, SWEEPS, SAMPLES, HOT = 5_000_000, 8_000_000, 32, 1, 2, 3, 10_000
 #: Log probabilities of pairs travel in steps of one part in so many: an error of 0.000004 a token at most.
 STEPS = 1 << 17
 FOLDS, HELD = 7, 2
@@ -666,13 +666,13 @@ def held_out():
     return F.coalesce(F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")), F.lit(FOLDS)) == HELD, F.lit(False))
 
 
-def scores(docs: DataFrame, batch_bytes: int = BATCH, seed: int = 5) -> DataFrame:
+def scores(docs: DataFrame, batch_bytes: int = BATCH, bucket_bytes: int = BUCKET, seed: int = 5) -> DataFrame:
     """Per row of docs (doc_id, text): the model's and the base's log10 probability of the whole text."""
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), text_of(docs).alias("text"))
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(4, -(-int(size) // batch_bytes))
+    buckets = max(4, -(-int(size) // bucket_bytes))
     counted = stored(_count(d, batch_bytes), "counted")
-    with batches_of(docs.sparkSession, 8):  # rows are megabytes
+    with batches_of(docs.sparkSession, 1):  # rows are megabytes
         unigrams = stored(_unigrams(counted, buckets), "unigrams")
         tokens, known = _vocabulary(unigrams)
         hot, parts = _hot(unigrams, max(tokens / buckets / 4, 1.0))
@@ -700,7 +700,9 @@ def scores(docs: DataFrame, batch_bytes: int = BATCH, seed: int = 5) -> DataFram
                 seated = stored(_seat(_joined(bigrams, parents, root, buckets), level, buckets, seed + 1 + i, SWEEPS), "seated")
         answers = stored(_answers(_joined(bigrams, parents, root, buckets, asks=True), level, seed + 1 + PASSES), "answers")
         discard(bigrams, parents)
-    return _score(answers, counted, unigrams, tokens, known, buckets)
+        out = stored(_score(answers, counted, unigrams, tokens, known, buckets), "scores")
+        discard(answers, counted, unigrams)
+    return out
 
 
 def _vocabulary(unigrams: DataFrame) -> tuple[float, float]:

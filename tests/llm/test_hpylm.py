@@ -21,7 +21,7 @@ def test_base_and_counts_equal_brute_force(spark, rng):
     vocab = ["w%d" % i for i in range(60)]
     rows = [(i, " ".join(rng.choice(vocab[: 5 + i % 50]) for _ in range(rng.randint(0, 80))) + ("\tEnde\n" if i % 2 else "")) for i in range(120)]
     rows += [(None, "W1 w2"), (500, None), (501, ""), (3, "w1"), (3, "w1"), (502, "nie gesehen " * 3)]
-    got = scores(spark.createDataFrame([(*r, None, None, 0) for r in rows], SCHEMA), batch_bytes=2000).collect()
+    got = scores(spark.createDataFrame([(*r, None, None, 0) for r in rows], SCHEMA), batch_bytes=2000, bucket_bytes=2000).collect()
     count = {}
     tok = lambda t: re.findall(r"[^\x20\x09-\x0D]+", lower(t)) + [None]
     for i, t in rows:
@@ -32,7 +32,7 @@ def test_base_and_counts_equal_brute_force(spark, rng):
     want = sorted((str(i), held(i), len(tok(t)), sum(w in count for w in tok(t)), n, round(sum(math.log10((count.get(w, 0) + 1) / (n + v + 1)) for w in tok(t)), 6)) for i, t in rows)
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
-    again = scores(spark.createDataFrame([(*r, None, None, 0) for r in rows], SCHEMA), batch_bytes=2000).collect()
+    again = scores(spark.createDataFrame([(*r, None, None, 0) for r in rows], SCHEMA), batch_bytes=2000, bucket_bytes=2000).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
@@ -97,7 +97,7 @@ def test_word_histories_count(spark, rng):
         bad.append(" ".join(w))
     ids = unseen(40)
     d = spark.createDataFrame(rows + list(zip(ids, good + bad)), "doc_id bigint, text string")
-    got = {r.doc_id: r for r in scores(d, batch_bytes=4000).collect()}
+    got = {r.doc_id: r for r in scores(d, batch_bytes=4000, bucket_bytes=4000).collect()}
     for i in range(20):
         g, b = got[ids[i]], got[ids[20 + i]]
         assert g.score > b.score + 5 and abs(g.base_score - b.base_score) < 1e-6
