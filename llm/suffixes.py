@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, mix64, prefix_hash, signed, span_hash, stored, text_of
+from .common import batches_of, byte_slices, mix64, prefix_hash, signed, span_hash, stored, text_of, trim
 
 LENGTH, FIRST, WINDOW, GRAM, STEP = 200, 100, 128, 16, 8
 _SEGMENT = 1 << 22
@@ -99,6 +99,7 @@ _ROW = "t1 bigint, t2 bigint, p1 bigint, n int, o int, core bigint, stretch bigi
 def _anchor_rows(docs: DataFrame, length: int, window: int) -> DataFrame:
     def run(batches):
         for b in batches:
+            trim()
             t1, t2 = np.asarray(b.column("t1")), np.asarray(b.column("t2"))
             for i, data, offs, at in _slices(b.column("text"), length):
                 got = anchors(data, offs, length, window)
@@ -123,6 +124,7 @@ def _positions(texts: DataFrame, length: int, first: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
+            trim()
             for r in range(b.num_rows):
                 raw = b.column("text")[r].as_py().encode()
                 runs = b.column("runs")[r].values
@@ -167,6 +169,7 @@ def _cut_runs(texts: DataFrame, length: int, step: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
+            trim()
             for r in range(b.num_rows):
                 raw = b.column("text")[r].as_py().encode()
                 runs = b.column("runs")[r].values
@@ -234,13 +237,15 @@ def _union(runs: list[dict], length: int) -> list[tuple[int, int]]:
 
 def removals(docs: DataFrame, length: int = LENGTH, first: int = FIRST, window: int = WINDOW) -> DataFrame:
     """A row a text that loses bytes (t1, t2): n_removed, spans, kept_sha256, kept (the bytes that stay)."""
-    some, runs = repeated_runs(docs, length, first, window)
+    with batches_of(docs.sparkSession, 200):  # rows are whole texts with their runs
+        some, runs = repeated_runs(docs, length, first, window)
     d = some.join(_listed(runs, "p1", "n"), ["t1", "t2"])
     schema = "t1 bigint, t2 bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string, kept binary"
     arrow = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
     def run(batches):
         for b in batches:
+            trim()
             for r in range(b.num_rows):
                 raw = b.column("text")[r].as_py().encode()
                 spans = _union(b.column("runs")[r].as_py(), length)
