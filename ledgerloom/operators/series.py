@@ -119,6 +119,21 @@ def mann_kendall(trades: DataFrame) -> DataFrame:
     return j.select("log_id", F.col("s").alias("mk_s"), z.alias("mk_z"))
 
 
+def decay(trades: DataFrame, oos_start: str | None = None) -> DataFrame:
+    """One row a log: halves, trend with its t, Mann-Kendall, runs, walk-forward ratio if a date is given, and whether the edge decayed.
+
+    Decayed is a falling trend at 5 % whose second half keeps less than half of the first's gain. A log too short for
+    a test has its neutral value: trend and t 0, z 0, no runs.
+    """
+    j = halves(trades).join(hac_slope(trades).select("log_id", "slope", F.col("t").alias("slope_t")), "log_id", "left")
+    j = j.join(mann_kendall(trades), "log_id", "left").join(runs(trades).select("log_id", "runs", "runs_z"), "log_id", "left")
+    j = j.fillna(0, ["slope", "slope_t", "mk_s", "mk_z", "runs", "runs_z"])
+    z95 = 1.959963984540054
+    falling = (F.col("slope") < 0) & (F.abs("slope_t") > z95)
+    j = j.withColumn("decayed", falling & (F.col("first_expectancy") > 0) & (F.col("second_expectancy") < 0.5 * F.col("first_expectancy")))
+    return j if oos_start is None else j.join(walk_forward(trades, oos_start).select("log_id", "wfe", "wfe_reason"), "log_id")
+
+
 def ewma(daily: DataFrame, lam: float = LAMBDA, burn_in: int = BURN_IN) -> DataFrame:
     """(log_id, day_idx, day_pnl, sigma): forecast volatility from earlier days only; null inside the burn-in.
 

@@ -221,6 +221,20 @@ def q_mann_kendall(spark, sf_dir):
     return _r(S.mann_kendall(trades_ev(spark, sf_dir)))
 
 
+def _ev(name: str) -> str:
+    """The SQL of a query over the other trade logs."""
+    return ORACLE_SQL[name].replace(LI, EV).replace("trades_li", "trades_ev")
+
+
+@query(
+    f"""select h.*, coalesce(slope, 0) as slope, coalesce(t, 0) as slope_t, mk_s, mk_z, coalesce(runs, 0) as runs, coalesce(runs_z, 0) as runs_z,
+       coalesce(slope < 0 and abs(t) > 1.959963984540054 and first_expectancy > 0 and second_expectancy < 0.5 * first_expectancy, false) as decayed
+from ({_ev("halves")}) h left join ({_ev("hac_slope")}) s using (log_id) left join ({_ev("mann_kendall")}) m using (log_id) left join ({_ev("runs_test")}) r using (log_id)"""
+)
+def q_decay_panel(spark, sf_dir):
+    return _r(S.decay(trades_ev(spark, sf_dir)), 6, slope=8, slope_t=4)
+
+
 @query(
     LI + DAILY + """, recursive_seed as (select log_id, avg(day_pnl * day_pnl) as v from daily where day_idx < 20 group by log_id),
 arr as (select log_id, list(day_pnl order by day_idx) as d from daily group by log_id),
