@@ -88,6 +88,11 @@ def test_haircut_of_a_long_log_is_finite():
     assert all(0 < b < a < 0.1 for a, b in zip(pct, pct[1:]))
 
 
+def test_bootstrap_never_gathers_trades_in_the_driver(spark):
+    plan = X.bootstrap_mean_sql(log(spark, random_days(1)), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [log_id" in plan and "BroadcastHashJoin [log_id" not in plan
+
+
 def test_clustering_tells_calm_from_clustered(spark):
     r = np.random.default_rng(1)
     days = [[float(round(r.normal(0, 400.0 if d // 15 % 2 else 20.0), 2))] for d in range(300)]
