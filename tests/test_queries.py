@@ -61,3 +61,18 @@ def test_sampling_uncertainty_has_every_log(spark, monkeypatch):
     monkeypatch.setattr(Q.MC, "uncertainty", lambda trades, firm: run(trades, firm, few, 2))
     want = {r.log_id for r in Q.trades_li(spark, SF).select("log_id").distinct().collect()}
     assert len(want) > 1 and {r.log_id for r in QUERIES["sampling_uncertainty"](spark, SF).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["overfit_flags_hashed"])
+def test_hashed_grades_draw_all_resamples(spark, monkeypatch, name):
+    """As many as the queries whose draws SQL can't repeat, in code and SQL."""
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables here")
+    import inspect
+
+    from ledgerloom.operators import stress as X
+
+    whole, run, got = inspect.signature(X.bootstrap_mean).parameters["samples"].default, X.bootstrap_mean_sql, []
+    monkeypatch.setattr(X, "bootstrap_mean_sql", lambda trades, samples, *a: got.append(samples) or run(trades, samples, *a))
+    QUERIES[name](spark, SF)
+    assert got == [whole] and f"range(0, {whole})) as s from bn" in ORACLE_SQL[name]
