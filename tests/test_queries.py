@@ -63,7 +63,7 @@ def test_sampling_uncertainty_has_every_log(spark, monkeypatch):
     assert len(want) > 1 and {r.log_id for r in QUERIES["sampling_uncertainty"](spark, SF).collect()} == want
 
 
-@pytest.mark.parametrize("name", ["overfit_flags_hashed"])
+@pytest.mark.parametrize("name", ["overfit_flags_hashed", "scorecard_hashed"])
 def test_hashed_grades_draw_all_resamples(spark, monkeypatch, name):
     """As many as the queries whose draws SQL can't repeat, in code and SQL."""
     if not os.path.isdir(SF):
