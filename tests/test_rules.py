@@ -176,3 +176,17 @@ def test_replay_reads_no_more_days_than_it_needs():
     at = dt.datetime(2026, 1, 5, 15, tzinfo=dt.timezone.utc)
     days = iter([(dt.date(2026, 1, 5) + dt.timedelta(i), [R.Trade(at, at, 1.0, -10_000.0 if i == 2 else 1.0)]) for i in range(9)])
     assert R.replay(days, phase, firm).outcome == "breached" and next(days)[0] == dt.date(2026, 1, 8)
+
+
+def test_quiet_days_are_not_gone_through_trade_by_trade():
+    """300,000 trades a path that come near no level; a step a trade took tens of microseconds."""
+    import time
+
+    days, k, rng = 20, 3000, np.random.default_rng(1)
+    close = np.cumsum(rng.normal(0, 0.01, (days, k)), axis=1)
+    p = K.Profile.of(np.repeat(np.arange(days), k), (close - 0.01).ravel(), (close + 0.01).ravel(), close.ravel(), np.zeros(days * k, bool))
+    firm, idx = C.PRESETS["topstep_50k"], rng.integers(0, days, (300, 100))
+    at = time.perf_counter()
+    r = K.simulate(p, idx, firm.phases[0], firm, base=4.0)
+    assert time.perf_counter() - at < 5
+    assert (r.outcome == K.ACTIVE).all() and np.allclose(r.balance, firm.phases[0].initial(firm.account_size) + p.day_pnl[idx].sum(1))
