@@ -180,3 +180,21 @@ def test_resamples_that_sum_to_nothing_are_not_positive(spark):
     assert 0 in sums and got["p_positive"] == sum(x > 0 for x in sums) / 400
     lo, hi = np.percentile(np.array(sums) / 100 / len(cents), [2.5, 97.5])
     assert got["ci_lo"] == pytest.approx(lo, abs=1e-12) and got["ci_hi"] == pytest.approx(hi, abs=1e-12)
+
+
+def test_permuted_orders_are_uniform_and_logs_come_in_parts(spark):
+    """Also where random numbers tie: here there are two for four values."""
+    from collections import Counter
+
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 2, (24_000, 4), dtype=np.uint64) << np.uint64(2) | np.arange(4, dtype=np.uint64)
+    X._shuffle(keys, 2, rng)
+    seen = Counter(map(tuple, (keys & np.uint64(3)).tolist()))
+    assert len(seen) == 24 and sum((k - 1000) ** 2 / 1000 for k in seen.values()) < 50  # chi-square, 23 degrees: 0.1 %
+    x = rng.normal(0, 1, (3, 100_000))
+    values, codes = np.unique(x, return_inverse=True)
+    dd, least = X._falls(values, codes.reshape(x.shape))
+    e = np.cumsum(x, axis=1)
+    assert np.allclose(dd, (np.maximum(np.maximum.accumulate(e, axis=1), 0) - e).max(1)) and np.allclose(least, e.min(1))
+    plan = X.permutation_drawdown(log(spark, random_days(1)), 10)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan  # no row grows with its log
